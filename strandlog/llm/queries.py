@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from strandlog.llm.ngram_join import similar_components
+from strandlog.llm.quality import quality_table
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality_table(documents(spark, sf_dir))
+
+
 def op10_ngram_jaccard_join(spark, sf_dir):
     return similar_components(documents(spark, sf_dir))
 
 
-QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 ORACLE: dict[str, str] = {}
