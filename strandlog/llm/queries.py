@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
+from strandlog.llm import chat, mixing
+from strandlog.llm.language import language_table
 from strandlog.llm.ngram_join import similar_components
 from strandlog.llm.quality import quality_table
+from strandlog.llm.sharding import shard_table
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op4_quality_rules(spark, sf_dir):
     return quality_table(documents(spark, sf_dir))
 
 
+def op5_chat_formatting(spark, sf_dir):
+    return chat.pair_table(table(spark, sf_dir, "conversations"))
+
+
+def op6_sharding(spark, sf_dir):
+    return shard_table(documents(spark, sf_dir))
+
+
+def op7_mixing(spark, sf_dir):
+    return mixing.mix_table(documents(spark, sf_dir))
+
+
+def op9_language_id(spark, sf_dir):
+    return language_table(documents(spark, sf_dir))
+
+
 def op10_ngram_jaccard_join(spark, sf_dir):
     return similar_components(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {f.__name__: f for f in (
+    op4_quality_rules, op5_chat_formatting, op6_sharding, op7_mixing, op9_language_id, op10_ngram_jaccard_join)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_chat_formatting": chat.ORACLE, "op7_mixing": mixing.oracle()}
