@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandlog.llm import chat, mixing
+from strandlog.llm import chat, decontaminate, mixing
 from strandlog.llm.language import language_table
 from strandlog.llm.ngram_join import similar_components
 from strandlog.llm.quality import quality_table
 from strandlog.llm.sharding import shard_table
+from strandlog.llm.toxicity import toxicity_table
 
 
 def table(spark, sf_dir, name):
@@ -17,6 +18,14 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.found_items(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark, sf_dir):
+    return toxicity_table(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_table(documents(spark, sf_dir))
 
@@ -42,6 +51,6 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_quality_rules, op5_chat_formatting, op6_sharding, op7_mixing, op9_language_id, op10_ngram_jaccard_join)}
+    op2_decontamination, op3_toxicity, op4_quality_rules, op5_chat_formatting, op6_sharding, op7_mixing, op9_language_id, op10_ngram_jaccard_join)}
 
-ORACLE: dict[str, str] = {"op5_chat_formatting": chat.ORACLE, "op7_mixing": mixing.oracle()}
+ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op5_chat_formatting": chat.ORACLE, "op7_mixing": mixing.oracle()}
