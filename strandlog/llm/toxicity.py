@@ -22,24 +22,45 @@ from pyspark.sql import functions as F
 from strandlog.llm.language import held_out
 
 SPLIT = "[^\\p{L}\\p{N}]+"
+STEM = 5
 _WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
 class Nearest:
     """terms: chosen terms at most. examples: labelled examples of a class at most, about. k: votes. block: postings of an
-    index block. threshold: the score that predicts 1. min_llr: a chosen term's log-likelihood ratio at least."""
+    index block. threshold: the score that predicts 1. min_llr, min_share: a chosen term's log-likelihood ratio and share of
+    toxic rows at least."""
 
     terms: int = 2000
     examples: int = 3000
     k: int = 15
     block: int = 64
     threshold: float = 0.7
-    min_llr: float = 15.0
+    min_llr: float = 12.0
+    min_share: float = 0.8
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
+    """Terms of a text: its lower-case words, and the stems of longer words with "~" after them."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
+    return F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("~"))))
+
+
+def terms_in(text: str, chosen) -> list[str]:
+    """The terms of a text that are in ``chosen``, with repeats."""
+    words = _WORD.findall(text.lower())
+    return [w for w in words if w in chosen] + [s for w in words if len(w) > STEM and (s := w[:STEM] + "~") in chosen]
+
+
+def _known(chosen: list[str]):
+    held = frozenset(chosen)
+
+    @F.pandas_udf("array<string>")
+    def known(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: terms_in(t, held) if isinstance(t, str) else [])
+
+    return known
 
 
 def _llr(k: Column, n: Column, kt: Column, nt: Column) -> Column:
@@ -53,10 +74,10 @@ def _llr(k: Column, n: Column, kt: Column, nt: Column) -> Column:
 class Index:
     """Normalised examples by term: postings in falling weight, in blocks; the first weight of a block is its maximum."""
 
-    def __init__(self, conf: Nearest, idf: dict[str, float], texts: list[str], labels: np.ndarray):
+    def __init__(self, conf: Nearest, idf: dict[str, float], terms: list[list[str]], labels: np.ndarray):
         self.conf, self.idf, self.labels = conf, idf, labels.astype(float)
         rows: dict[str, list] = {}
-        self.vectors = [self.vector(t) for t in texts]
+        self.vectors = [self.vector(t) for t in terms]
         for i, v in enumerate(self.vectors):
             for term, w in v.items():
                 rows.setdefault(term, []).append((-w, i))
@@ -67,8 +88,8 @@ class Index:
         self.slope, self.shift = 1.0, 0.0
         self._memo: dict = {}
 
-    def vector(self, text: str) -> dict[str, float]:
-        tf = Counter(w for w in _WORD.findall(text.lower()) if w in self.idf)
+    def vector(self, terms: list[str]) -> dict[str, float]:
+        tf = Counter(terms)
         v = {w: (1 + np.log(n)) * self.idf[w] for w, n in tf.items()}
         size = sum(x * x for x in v.values()) ** 0.5
         return {w: x / size for w, x in v.items()}
@@ -119,7 +140,7 @@ class Index:
         return self
 
     def score(self, text: str) -> tuple[float, list[int]]:
-        v = self.vector(text)
+        v = self.vector(terms_in(text, self.idf))
         key = tuple(sorted((t, round(x, 12)) for t, x in v.items()))
         if key not in self._memo:
             if len(self._memo) > 50_000:
@@ -139,17 +160,17 @@ def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "
     per_term = rows.select("y", F.explode(F.array_distinct(tokens(F.col("x")))).alias("t")).groupBy("t").agg(
         F.sum(1 - F.col("y")).alias("k"), F.sum("y").alias("kt"))
     llr = _llr(F.col("k").cast("double"), F.lit(float(sizes[0])), F.col("kt").cast("double"), F.lit(float(sizes[1])))
-    chosen = [r["t"] for r in per_term.select("t", llr.alias("s")).where(F.col("s") >= conf.min_llr).orderBy(F.desc("s"), "t").limit(conf.terms).collect()]
-    found = F.array_intersect(tokens(F.col(text)), F.array(*[F.lit(t) for t in chosen]) if chosen else F.array().cast("array<string>"))
-    df = {r["t"]: r["n"] for r in docs.select(F.explode(found).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    chosen = [r["t"] for r in per_term.select("t", "k", "kt", llr.alias("s")).where((F.col("s") >= conf.min_llr) & (F.col("kt") >= conf.min_share * (F.col("k") + F.col("kt")))).orderBy(F.desc("s"), "t").limit(conf.terms).collect()]
+    known = _known(chosen)
+    df = {r["t"]: r["n"] for r in docs.select(F.explode(F.array_distinct(known(text))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     total = docs.count()
     idf = {t: float(np.log((1 + total) / (1 + df.get(t, 0))) + 1) for t in chosen}
     u = F.pmod(F.xxhash64(F.coalesce("x", F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rate = F.when(F.col("y") == 1, conf.examples / sizes[1]).otherwise(conf.examples / sizes[0])
-    # only the terms of an example are needed, so that is all that comes to the driver
-    terms = F.filter(tokens(F.col("x")), lambda w: F.array_contains(F.array(*[F.lit(t) for t in chosen]), w)) if chosen else F.array().cast("array<string>")
-    sample = rows.where("y IN (0, 1)").where(u < rate).select(F.array_join(terms, " ").alias("x"), "y").toPandas().sort_values(["y", "x"])
-    return Index(conf, idf, sample["x"].tolist(), sample["y"].to_numpy()).calibrate()
+    # only the chosen terms of an example come to the driver
+    sample = rows.where("y IN (0, 1)").where(u < rate).select(known("x").alias("x"), "y").toPandas()
+    sample = sorted((int(y), sorted(x)) for x, y in zip(sample["x"], sample["y"]))
+    return Index(conf, idf, [x for _, x in sample], np.array([y for y, _ in sample])).calibrate()
 
 
 def scored(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:
