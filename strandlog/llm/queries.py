@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandlog.llm import chat, decontaminate, mixing
+from strandlog.llm.context_tree import language_model_table
 from strandlog.llm.language import language_table
 from strandlog.llm.ngram_join import similar_components
 from strandlog.llm.quality import quality_table
@@ -42,6 +43,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix_table(documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return language_model_table(documents(spark, sf_dir))
+
+
 def op9_language_id(spark, sf_dir):
     return language_table(documents(spark, sf_dir))
 
@@ -51,6 +56,6 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_toxicity, op4_quality_rules, op5_chat_formatting, op6_sharding, op7_mixing, op9_language_id, op10_ngram_jaccard_join)}
+    op2_decontamination, op3_toxicity, op4_quality_rules, op5_chat_formatting, op6_sharding, op7_mixing, op8_lm_scoring, op9_language_id, op10_ngram_jaccard_join)}
 
 ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op5_chat_formatting": chat.ORACLE, "op7_mixing": mixing.oracle()}
