@@ -7,6 +7,7 @@ from strandlog.llm.context_tree import language_model_table
 from strandlog.llm.language import language_table
 from strandlog.llm.ngram_join import similar_components
 from strandlog.llm.quality import quality_table
+from strandlog.llm.repeats import repeats_table
 from strandlog.llm.sharding import shard_table
 from strandlog.llm.toxicity import toxicity_table
 
@@ -19,6 +20,10 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return repeats_table(documents(spark, sf_dir))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontaminate.found_items(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,6 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_toxicity, op4_quality_rules, op5_chat_formatting, op6_sharding, op7_mixing, op8_lm_scoring, op9_language_id, op10_ngram_jaccard_join)}
+    op1_suffix_dedup, op2_decontamination, op3_toxicity, op4_quality_rules, op5_chat_formatting, op6_sharding, op7_mixing, op8_lm_scoring, op9_language_id, op10_ngram_jaccard_join)}
 
 ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op5_chat_formatting": chat.ORACLE, "op7_mixing": mixing.oracle()}
