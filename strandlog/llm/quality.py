@@ -151,7 +151,8 @@ def quality_table(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
 
 def keep_clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The rows that pass, with their failed lines removed; ``n_chars`` follows the text if there is one."""
-    out = clean_lines(docs, text, rules).where(F.col("quality")["kept"])
+    # the row number keeps the filter above the nested expressions: pushed below, it would repeat them over and over
+    out = clean_lines(docs, text, rules).withColumn("_at", F.monotonically_increasing_id()).where(F.col("quality")["kept"] & (F.col("_at") >= 0))
     fresh = {text: F.col("quality")["clean_text"]}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.length(F.col("quality")["clean_text"]).cast(dict(docs.dtypes)["n_chars"])
