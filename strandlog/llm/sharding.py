@@ -3,7 +3,7 @@
 Equal texts form a group. Small groups are bundled by their hash into a fixed number of bundles; a group that alone
 holds more than a bundle's share is an item of its own, and one that holds more than a whole shard is cut into pieces
 by the hash of its keys. So the driver places a bounded number of items (at most ``bundles`` bundles and
-``3 * bundles`` large groups with 3 * shards * 2 pieces more), whatever the corpus: each, largest first, goes where the
+``3 * bundles`` large groups, which have 3 * shards * pieces pieces more), whatever the corpus: each, largest first, goes where the
 dot product of its vector with the shard's residual capacity is highest. No group is brought into one task: sizes are
 combined before the shuffle and slots are numbered in fixed cells.
 """
@@ -24,11 +24,12 @@ WORD = "[^ \\t\\n\\x0B\\f\\r]++"
 @dataclass(frozen=True)
 class Packing:
     """shards: their number. bundles: items that small groups are dealt to. cells: numbering cells of each shard.
-    weights: of bytes, tokens and rows in the dot product."""
+    pieces: of a shard's worth of one group that is cut. weights: of bytes, tokens and rows in the dot product."""
 
     shards: int = 16
     bundles: int = 4096
     cells: int = 256
+    pieces: int = 32
     weights: tuple[float, float, float] = (8.0, 1.0, 1.0)
 
 
@@ -77,12 +78,21 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Pack
     for r in bundles:
         keys.append((None, r["bundle"], 0, 1))
         vectors.append([r[c] / n for c, n in zip("btr", total)])
+    # a group of more than a shard is cut into pieces of about a 32nd of a shard, and their rows are counted
+    split = {r["g"]: min(r["r"], int(np.ceil(plan.pieces * plan.shards * max(r[c] / n for c, n in zip("btr", total))))) for r in large
+             if r["r"] > 1 and max(r[c] / n for c, n in zip("btr", total)) * plan.shards > 1}
+    row_hash = F.xxhash64(F.lit(17), F.col(key))
+    piece_rows = {}
+    if split:  # fewer than 3 * shards groups
+        cuts = F.broadcast(spark.createDataFrame(list(split.items()), "_g long, _n long"))
+        counted = sized.join(cuts, p["g"] == F.col("_g")).groupBy("_g", F.pmod(row_hash, F.col("_n")).alias("k")).agg(F.count("*").alias("n"))
+        piece_rows = {(r["_g"], r["k"]): r["n"] for r in counted.collect()}
     for r in large:
         v = np.array([r[c] / n for c, n in zip("btr", total)])
-        pieces = 1 if v.max() * plan.shards <= 1 or r["r"] == 1 else min(r["r"], int(np.ceil(2 * v.max() * plan.shards)))
+        pieces = split.get(r["g"], 1)
         for k in range(pieces):
             keys.append((r["g"], None, k, pieces))
-            vectors.append(v / pieces)
+            vectors.append(v * (piece_rows.get((r["g"], k), 0) / r["r"]) if r["g"] in split else v)
     at = place(np.array(vectors).reshape(-1, 3), plan.shards, plan.weights)
     big_map = [(g, k, n, int(s)) for (g, _, k, n), s in zip(keys, at) if g is not None]
     small_map = [0] * plan.bundles
@@ -91,7 +101,6 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Pack
             small_map[b] = int(s)
     table = spark.createDataFrame(big_map, "_g long, _k int, _n int, _shard int").groupBy("_g").agg(
         F.first("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_k", "_shard"))).alias("_pieces"))
-    row_hash = F.xxhash64(F.lit(17), F.col(key))
     bundle_shards = spark.createDataFrame([(small_map,)], "_shards array<int>")
     found = (sized.join(F.broadcast(table), p["g"] == F.col("_g"), "left").join(F.broadcast(bundle_shards), F.lit(True), "left"))
     shard = F.coalesce(F.get(F.col("_pieces"), F.pmod(row_hash, F.col("_n").cast("long")).cast("int"))["_shard"],
