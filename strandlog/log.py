@@ -63,9 +63,12 @@ def numbered(df: DataFrame, order_by: str, after: int = 0) -> DataFrame:
     cells before. Only the cell counts (one row for each of at most 1024 cells) pass through one task.
     """
     cells = 1024
-    bounds = df.select(F.percentile_approx(F.col(order_by), [i / cells for i in range(1, cells)], 100000).alias("b"))
+    place = F.col(order_by)
+    if df.schema[order_by].dataType.simpleString() in ("string", "binary"):  # the first bytes as a number: same order, with ties
+        place = F.conv(F.rpad(F.hex(F.substring(place.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    bounds = df.select(F.percentile_approx(place, [i / cells for i in range(1, cells)], 100000).alias("b"))
     placed = df.crossJoin(F.broadcast(bounds)).withColumn(
-        "_cell", F.size(F.filter(F.coalesce("b", F.array()), lambda x: x < F.col(order_by)))).drop("b")
+        "_cell", F.size(F.filter(F.coalesce("b", F.array()), lambda x: x < place))).drop("b")
     counts = placed.groupBy("_cell").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
