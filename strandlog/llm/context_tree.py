@@ -22,7 +22,7 @@ from strandlog.llm.scratch import saved
 from strandlog.llm.words import LOWER, blocks, word_hashes, word_spans
 
 DEPTH = 4
-BLOCK = 12_000_000
+BLOCK = 5_000_000
 _END = np.int64(-0x61C8864680B583EB)  # the key of the end token
 
 
@@ -144,7 +144,7 @@ def _counted(batches, texts: int, blocks_at: int | None, counts: bool):
 
     for batch in batches:
         ids = batch.column(blocks_at).to_numpy(zero_copy_only=False) if blocks_at is not None else np.zeros(len(batch), np.int64)
-        for first, _, data, offsets in blocks(batch.column(texts), 4 << 20):
+        for first, _, data, offsets in blocks(batch.column(texts)):
             data = LOWER[data]
             for kind, (keys, rows) in enumerate((grams(data, offsets), tokens(data, offsets))):
                 owner = ids[first + rows]
@@ -152,7 +152,7 @@ def _counted(batches, texts: int, blocks_at: int | None, counts: bool):
                     k, c = np.unique(keys[owner == block], return_counts=True)
                     held.setdefault((block, kind), []).append((k, c))
                     size += len(k)
-        if size > 6_000_000:
+        if size > 1_500_000:
             yield from out()
             held, size = {}, 0
     yield from out()
