@@ -36,7 +36,7 @@ class Repeats:
     gram: int = 64
     chunk: int = 4_000_000
     shard: int = 400_000
-    many: int = 200
+    many: int = 4000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:

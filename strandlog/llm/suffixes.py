@@ -17,25 +17,32 @@ def _types(s: np.ndarray) -> np.ndarray:
     return smaller
 
 
-def _induce(s: list, order: list, kinds: list, starts: np.ndarray, ends: np.ndarray, n: int) -> list:
-    """The suffix array that the sorted leftmost-smaller suffixes ``order`` lead to, in two linear sweeps."""
+def _induce(s: np.ndarray, order: np.ndarray, smaller: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list:
+    """The suffix array that the sorted leftmost-smaller suffixes ``order`` lead to, in two linear sweeps.
+
+    larger_before, smaller_before: the character before a place if its suffix is of that type, else -1; so too for the
+    empty slot -1, by the last entry.
+    """
     sa = [-1] * n
+    chars, places = s[order].tolist(), order.tolist()
     tail = ends.tolist()
-    for i in reversed(order):
-        c = s[i]
+    for i, c in zip(reversed(places), reversed(chars)):
         sa[tail[c]] = i
         tail[c] -= 1
+    none = np.array([-1])
+    larger_before = np.concatenate((none, np.where(smaller[:-1], -1, s[:-1]), none)).tolist()
+    smaller_before = np.concatenate((none, np.where(smaller[:-1], s[:-1], -1), none)).tolist()
     head = starts.tolist()
     for i in sa:
-        if i > 0 and not kinds[i - 1]:
-            c = s[i - 1]
+        c = larger_before[i]
+        if c >= 0:
             sa[head[c]] = i - 1
             head[c] += 1
     tail = ends.tolist()
     for r in range(n - 1, -1, -1):
         i = sa[r]
-        if i > 0 and kinds[i - 1]:
-            c = s[i - 1]
+        c = smaller_before[i]
+        if c >= 0:
             sa[tail[c]] = i - 1
             tail[c] -= 1
     return sa
@@ -51,9 +58,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes) - 1
     starts = ends - sizes + 1
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    chars, kinds = s.tolist(), smaller.tolist()
     if len(leftmost) > 1:
-        rough = np.array(_induce(chars, leftmost.tolist(), kinds, starts, ends, n))
+        rough = np.array(_induce(s, leftmost, smaller, starts, ends, n))
         is_left = np.zeros(n + 1, bool)
         is_left[leftmost] = True
         found = rough[is_left[rough]]
@@ -76,7 +82,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
             order[reduced] = leftmost
     else:
         order = leftmost
-    return np.array(_induce(chars, order.tolist(), kinds, starts, ends, n))
+    return np.array(_induce(s, order, smaller, starts, ends, n))
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,33 +98,37 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(out, return_inverse=True)[1].astype(np.int64), starts
 
 
-def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """For each place of the text, the common prefix of its suffix and the suffix before it in the array, up to ``cap``.
+def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int, places: np.ndarray) -> np.ndarray:
+    """For each place of the text in ``places`` (rising), the common prefix of its suffix and the suffix before it in the
+    array, up to ``cap``; 0 at the others.
 
-    Computed in text order, where a length is at least the last one less one; long agreements are compared as bytes.
+    Computed in text order, where a length is at least the last one less the distance; agreements are compared as bytes.
     """
     n = len(s)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     data = s.astype(np.int32).tobytes()
-    out, length = [0] * n, 0
-    for i, j in enumerate(phi.tolist()):
+    out, length, last = [], 0, 0
+    for i, j in zip(places.tolist(), phi[places].tolist()):
+        length = max(length - (i - last), 0)
+        last = i
         if j < 0:
             length = 0
-            continue
-        limit = min(cap, n - i, n - j)
-        while length < limit:
-            step = min(32, limit - length)
-            a, b = 4 * (i + length), 4 * (j + length)
-            if data[a : a + 4 * step] == data[b : b + 4 * step]:
-                length += step
-                continue
-            while data[a : a + 4] == data[b : b + 4]:
-                length, a, b = length + 1, a + 4, b + 4
-            break
-        out[i] = length
-        length = max(length - 1, 0)
-    return np.array(out)
+        else:
+            limit = min(cap, n - i, n - j)
+            while length < limit:
+                step = min(64, limit - length)
+                a, b = 4 * (i + length), 4 * (j + length)
+                if data[a : a + 4 * step] == data[b : b + 4 * step]:
+                    length += step
+                    continue
+                while data[a : a + 4] == data[b : b + 4]:
+                    length, a, b = length + 1, a + 4, b + 4
+                break
+        out.append(length)
+    full = np.zeros(n, np.int64)
+    full[places] = out
+    return full
 
 
 def repeated_starts(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -127,7 +137,8 @@ def repeated_starts(texts: list[bytes], size: int) -> list[np.ndarray]:
         return []
     s, starts = joined(texts)
     sa = suffix_array(s)
-    before = common_prefixes(s, sa, size)
+    left = np.repeat(starts[1:] - 1, np.diff(starts)) - np.arange(len(s))
+    before = common_prefixes(s, sa, size, np.flatnonzero(left >= size))  # shorter suffixes can't agree so long
     best = before.copy()
     best[sa[:-1]] = np.maximum(best[sa[:-1]], before[sa[1:]])
     found = best >= size
