@@ -124,12 +124,12 @@ class Network:
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", conf: ByteCnn = ByteCnn()) -> Network | None:
     """A network over the labels of ``rows``, or None without labelled rows. The sample is by a hash of the text, at even
-    rates within each class, so its expected size is bounded by ``per_class`` times the number of classes."""
+    rates within each class (one row per class is broadcast, as the network has an output for each anyway), so its expected size is bounded by ``per_class`` times the number of classes."""
     known = rows.where(F.col(label).isNotNull() & F.col(text).rlike("\\p{L}")).select(F.col(label).alias("y"), F.col(text).alias("x"))
     sizes = known.groupBy("y").agg(F.count("*").alias("n"))
     rate = F.lit(float(conf.per_class)) / F.col("n")
     u = F.pmod(F.xxhash64("x"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    got = known.join(sizes, "y").where(u < rate).select("y", F.substring("x", 1, conf.sample_chars).alias("x")).toPandas()
+    got = known.join(F.broadcast(sizes), "y").where(u < rate).select("y", F.substring("x", 1, conf.sample_chars).alias("x")).toPandas()
     if not len(got):  # tiny classes by chance: take them whole
         got = known.select("y", F.substring("x", 1, conf.sample_chars).alias("x")).limit(conf.per_class).toPandas()
     if not len(got):
