@@ -21,7 +21,7 @@ from strandlog.llm.language import held_out
 from strandlog.llm.scratch import saved
 from strandlog.llm.words import LOWER, blocks, word_hashes, word_spans
 
-DEPTH = 4
+DEPTH = 5
 BLOCK = 5_000_000
 _END = np.int64(-0x61C8864680B583EB)  # the key of the end token
 
