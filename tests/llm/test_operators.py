@@ -262,11 +262,11 @@ def test_context_tree_is_a_distribution():
     every, count = np.concatenate((keys, asked)), np.concatenate((n, np.zeros(len(asked), int))).astype(float)
     order = np.argsort(every)
     every, count = every[order], count[order]
-    tops = [context_tree.top_nodes(every[every >> 32 == c], count[every >> 32 == c]) for c in np.unique(every >> 32)]
+    tops = [context_tree.top_nodes(every[every >> 8 * context_tree.DEPTH == c], count[every >> 8 * context_tree.DEPTH == c]) for c in np.unique(every >> 8 * context_tree.DEPTH)]
     import pandas as pd
 
     root = context_tree.root_nodes(pd.concat([pd.DataFrame(dict(zip(("prefix", "a", "b", "w"), t))) for t in tops]))
-    group = every >> 32 == context >> 32
+    group = every >> 8 * context_tree.DEPTH == context >> 8 * context_tree.DEPTH
     p = np.exp(context_tree.predictions(every[group], count[group], root))
     assert math.isclose(p[every[group] & ~255 == context].sum(), 1, rel_tol=1e-9)
 
