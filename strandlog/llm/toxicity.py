@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.language import held_out
+from strandlog.llm.scratch import saved
 
 SPLIT = "[^\\p{L}\\p{N}]+"
 STEM = 5
@@ -28,10 +29,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Nearest:
-    """terms: chosen terms at most. examples: labelled examples of a class at most, about. k: votes. block: postings of an
+    """labelled: labelled rows of a class that anything is learned from, about. terms: chosen terms at most. examples: labelled examples of a class at most, about. k: votes. block: postings of an
     index block. threshold: the score that predicts 1. min_llr, min_share: a chosen term's log-likelihood ratio and share of
     toxic rows at least."""
 
+    labelled: int = 20_000
     terms: int = 2000
     examples: int = 3000
     k: int = 15
@@ -188,9 +190,16 @@ def scored(docs: DataFrame, index: Index | None, text: str = "text") -> DataFram
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame, conf: Nearest = Nearest()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, learned from labelled rows that are not held out."""
+    """(doc_id, held_out, score, predicted) of every row, learned from a bounded sample of labelled rows that are not held out.
+
+    Where a document has several labels, the highest counts.
+    """
     out = held_out(F.col("doc_id"), 3, 1)
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("label")).dropDuplicates(["_id"])
-    learned = docs.where(~out).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select("text", "label")
+    marks = labels.where(F.col("toxic").isin(0, 1) & ~out).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
+    sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    rate = F.when(F.col("label") == 1, conf.labelled / sizes.get(1, 1)).otherwise(conf.labelled / sizes.get(0, 1))
+    some = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < rate)
+    # about 2 * labelled ids at most, so they go to the texts and no text is shuffled
+    learned = saved(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "label"))
     index = fit(learned, docs, conf=conf)
     return scored(docs.select("doc_id", out.alias("held_out"), "text"), index).select("doc_id", "held_out", "score", "predicted")
