@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -31,7 +33,13 @@ def folder(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """The same rows, written once and read back. The path is kept in ``scratch_path`` for ``drop``."""
     path = f"{folder(df.sparkSession)}/strandlog/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")  # once the table is written, nothing reads its shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
