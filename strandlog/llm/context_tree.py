@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.language import held_out
-from strandlog.llm.scratch import saved
+from strandlog.llm.scratch import drop, saved
 from strandlog.llm.words import LOWER, blocks, word_hashes, word_spans
 
 DEPTH = 5
-BLOCK = 5_000_000
+BLOCK = 8_000_000
 _END = np.int64(-0x61C8864680B583EB)  # the key of the end token
 
 
@@ -198,7 +198,9 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
     every = seen.unionByName(values().where("kind = 0 AND n IS NULL").select("key", F.lit(0.0).alias("n")))
     gram_values = every.groupBy(first).applyInPandas(valued, "key long, v double").select(F.lit(0).alias("kind"), "key", "v")
     word_values = values().where("kind = 1").select("kind", "key", F.coalesce("n", F.lit(0)).cast("double").alias("v"))
-    told = asked.join(saved(gram_values.unionByName(word_values)), ["kind", "key"]).select("block", "kind", "key", "v")
+    entries = saved(gram_values.unionByName(word_values))
+    told = saved(asked.join(entries, ["kind", "key"]).select("block", "kind", "key", "v"))
+    drop(asked, counts, entries)
 
     def score(texts: pa.Table, entries: pa.Table) -> pa.Table:
         kinds, keys, v = (entries.column(c).to_numpy() for c in ("kind", "key", "v"))
