@@ -229,6 +229,10 @@ class NgramJoin:
         each = sets.select("id", "n", F.explode("sigs").alias("sig"))
         buckets = each.groupBy("sig").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("least")).where("size > 1")
         found = saved(each.join(buckets, "sig").select("sig", "id", "n", "size", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")))
+        # the signatures have done their work: only lean tables stay
+        with_signatures = (rows, sets)
+        rows, sets = saved(rows.select("key", "n", "fp")), saved(sets.select("id", "fp", "key", "n"))
+        drop(*with_signatures)
         fits = self.percent * F.greatest("n", "least_n") <= 100 * F.least("n", "least_n")
         stars = found.where((F.col("id") != F.col("least")) & fits).select(F.col("least").alias("hub"), F.col("id").alias("other")).distinct()
         stars = saved(stars)
