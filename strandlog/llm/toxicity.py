@@ -1,17 +1,18 @@
-"""Toxicity by the nearest labelled examples, under exact TF-IDF cosine from a block-max inverted index.
-
-Terms that separate the labelled classes are chosen by their log-likelihood ratio over all training rows; their document
-frequencies are counted over all documents. Vectors are L2-normalised tf-idf over these terms. The index holds, per term,
-example postings in blocks with the largest weight of each; a query accumulates its terms from the strongest bound down
-and skips blocks that can't lift an example into its nearest. Similarity-weighted votes are calibrated by a logistic fit
-on the examples themselves, each scored without itself. Texts without such terms have no near example: they get the
-calibrated score of zero votes.
+"""Toxicity by the nearest labelled examples, under exact TF-IDF cosine from block-max inverted indexes.
+
+Examples are distinct labelled texts. Every term of theirs is a dimension; document frequencies are counted over all
+documents. Long texts drown a few insults in ordinary words, so a second index holds the same examples over only the
+terms that separate the classes by their log-likelihood ratio over distinct learned texts; the similarity to an example
+is the larger of both cosines. An index holds, per term, example postings in blocks with the largest weight of each; a
+query accumulates its terms from the strongest bound down and skips blocks that can't lift an example into its nearest.
+Similarity-weighted votes are calibrated by a logistic fit on the examples themselves, each scored without itself.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +30,10 @@ _WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Nearest:
-    """labelled: labelled rows of a class that anything is learned from, about. terms: chosen terms at most. examples: labelled examples of a class at most, about. k: votes. block: postings of an
-    index block. threshold: the score that predicts 1. min_llr, min_share: a chosen term's log-likelihood ratio and share of
-    toxic rows at least."""
+    """labelled: labelled rows of a class that anything is learned from, about. terms: separating terms at most; the vectors
+    over all terms know no limit. examples: distinct labelled texts of a class at most. k: votes. block: postings of an
+    index block. threshold: the score that predicts 1. min_llr, min_share: a separating term's log-likelihood ratio and
+    share of toxic texts at least."""
 
     labelled: int = 20_000
     terms: int = 2000
@@ -49,20 +51,30 @@ def tokens(text: Column) -> Column:
     return F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("~"))))
 
 
-def terms_in(text: str, chosen) -> list[str]:
-    """The terms of a text that are in ``chosen``, with repeats."""
+def _terms(text: str) -> list[str]:
+    """All terms of a text, with repeats."""
     words = _WORD.findall(text.lower())
-    return [w for w in words if w in chosen] + [s for w in words if len(w) > STEM and (s := w[:STEM] + "~") in chosen]
+    return words + [w[:STEM] + "~" for w in words if len(w) > STEM]
 
 
-def _known(chosen: list[str]):
-    held = frozenset(chosen)
+def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> np.ndarray:
+    """In how many rows each of ``terms`` stands; counted per task, so that only one number a term and task is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
-    @F.pandas_udf("array<string>")
-    def known(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: terms_in(t, held) if isinstance(t, str) else [])
+    def count(batches):
+        place = shared.value
+        n = np.zeros(len(place), np.int64)
+        for batch in batches:
+            for t in batch["x"]:
+                if isinstance(t, str):
+                    n[list(set(map(place.get, _terms(t))) - {None})] += 1
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"t": at, "n": n[at]})
 
-    return known
+    out = np.zeros(len(terms), np.int64)
+    got = docs.select(F.col(text).alias("x")).mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    out[got["t"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
 
 
 def _llr(k: Column, n: Column, kt: Column, nt: Column) -> Column:
@@ -76,61 +88,101 @@ def _llr(k: Column, n: Column, kt: Column, nt: Column) -> Column:
 class Index:
     """Normalised examples by term: postings in falling weight, in blocks; the first weight of a block is its maximum."""
 
-    def __init__(self, conf: Nearest, idf: dict[str, float], terms: list[list[str]], labels: np.ndarray):
-        self.conf, self.idf, self.labels = conf, idf, labels.astype(float)
-        rows: dict[str, list] = {}
-        self.vectors = [self.vector(t) for t in terms]
-        for i, v in enumerate(self.vectors):
-            for term, w in v.items():
-                rows.setdefault(term, []).append((-w, i))
-        self.postings = {}
-        for term, found in rows.items():
-            found.sort()
-            self.postings[term] = (np.array([i for _, i in found]), np.array([-w for w, _ in found]))
-        self.slope, self.shift = 1.0, 0.0
-        self._memo: dict = {}
+    def __init__(self, conf: Nearest, idf: dict[str, float], terms: Iterable[list[str]], labels: np.ndarray):
+        self.conf, self.labels = conf, labels.astype(float)
+        self.terms, self.idf = {t: i for i, t in enumerate(idf)}, np.array(list(idf.values()), float)
+        self.rows = [self.weigh(t) for t in terms]
+        ids, w = (np.concatenate([np.zeros(0, d), *[r[k] for r in self.rows]]) for k, d in enumerate((np.int64, float)))
+        of = np.repeat(np.arange(len(self.rows)), [len(r[0]) for r in self.rows])
+        order = np.lexsort((of, -w, ids))
+        self.starts = np.searchsorted(ids[order], np.arange(len(idf) + 1))
+        self.at, self.w = of[order], w[order]
+
+    def weigh(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the known terms and their normalised weights."""
+        tf = Counter(map(self.terms.get, terms))
+        tf.pop(None, None)
+        ids = np.fromiter(tf, np.int64, len(tf))
+        v = (1 + np.log(np.fromiter(tf.values(), float, len(tf)))) * self.idf[ids]
+        return ids, v / max(float(v @ v) ** 0.5, 1e-300)
 
     def vector(self, terms: list[str]) -> dict[str, float]:
-        tf = Counter(terms)
-        v = {w: (1 + np.log(n)) * self.idf[w] for w, n in tf.items()}
-        size = sum(x * x for x in v.values()) ** 0.5
-        return {w: x / size for w, x in v.items()}
+        return self._named(*self.weigh(terms))
+
+    def _named(self, ids: np.ndarray, w: np.ndarray) -> dict[str, float]:
+        names = list(self.terms)
+        return {names[i]: float(x) for i, x in zip(ids, w)}
+
+    @property
+    def vectors(self) -> list[dict[str, float]]:
+        return [self._named(*r) for r in self.rows]
+
+    def _postings(self, first: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and products of the n postings from ``first`` of each term."""
+        cuts = [slice(a, b) for a, b in zip(first.tolist(), (first + n).tolist())]
+        return np.concatenate([self.at[c] for c in cuts]), np.concatenate([self.w[c] for c in cuts]) * np.repeat(q, n)
 
     def nearest(self, v: dict[str, float], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above zero (ties: the lower example) and their cosines, exactly."""
-        n, k, step = len(self.vectors), self.conf.k, self.conf.block
-        terms = sorted(((q * self.postings[t][1][0], t, q) for t, q in v.items() if t in self.postings), reverse=True)
-        rest = np.cumsum([b for b, _, _ in terms][::-1])[::-1].tolist() + [0.0]  # bound of what later terms can add
-        sims, seen, floor = np.zeros(n), np.zeros(n, bool), 0.0
-        for j, (_, t, q) in enumerate(terms):
-            ids, w = self.postings[t]
-            for a in range(0, len(ids), step):
-                at = ids[a : a + step]
-                if q * w[a] + rest[j + 1] < floor:  # new examples of this block can't reach the k-th nearest
-                    at, ww = ids[a:], w[a:]
-                    old = seen[at]
-                    sims[at[old]] += q * ww[old]
-                    break
-                sims[at] += q * w[a : a + step]
-                seen[at] = True
+        known = [(self.terms[t], q) for t, q in v.items() if t in self.terms]
+        return self.closest(np.array([i for i, _ in known], np.int64), np.array([q for _, q in known], float), without)
+
+    def closest(self, ids: np.ndarray, q: np.ndarray, without: int = -1, group: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """As nearest, of numbered terms. Terms are taken in groups, the strongest first; the k-th best sum so far is the floor."""
+        n, k, step = len(self.labels), self.conf.k, self.conf.block
+        held = self.starts[ids + 1] > self.starts[ids]
+        ids, q = ids[held], q[held]
+        most = q * self.w[self.starts[ids]]
+        order = np.argsort(-most, kind="stable")
+        ids, q, most = ids[order], q[order], most[order]
+        first, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)[1:]  # bound of what later terms can add
+        sims, floor = np.zeros(n), 0.0
+        for a in range(0, len(ids), group):
+            g = slice(a, a + group)
+            head = size[g].copy()
+            for j in np.flatnonzero(rest[g] < floor):  # leave out blocks whose new examples can't reach the floor
+                tops = q[a + j] * self.w[first[a + j] : first[a + j] + head[j] : step]
+                head[j] = min(head[j], step * int((tops + rest[a + j] >= floor - 1e-12).sum()))
+            at, x = self._postings(first[g], head, q[g])
+            sims += np.bincount(at, x, n)
+            if (head < size[g]).any():
+                at, x = self._postings(first[g] + head, size[g] - head, q[g])
+                old = sims[at] > 0
+                sims += np.bincount(at[old], x[old], n)
             if without >= 0:
                 sims[without] = 0
-            if seen.sum() > k:
-                floor = float(np.partition(sims, -k - 1)[-k - 1])
-        if without >= 0:
-            sims[without] = 0
+            if n > k:
+                floor = float(np.partition(sims, -k)[-k])
         at = np.flatnonzero(sims > 0)
         at = at[np.lexsort((at, -np.round(sims[at], 12)))][:k]
         return at, sims[at]
 
-    def votes(self, v: dict[str, float], without: int = -1) -> tuple[float, np.ndarray]:
-        at, s = self.nearest(v, without)
+
+class Examples:
+    """The same examples over all of their terms and over the separating ones; an example's similarity is the larger cosine."""
+
+    def __init__(self, conf: Nearest, every: Index, chosen: Index):
+        self.conf, self.every, self.chosen, self.labels = conf, every, chosen, every.labels
+        self.slope, self.shift = 1.0, 0.0
+
+    def nearest(self, every: tuple, chosen: tuple, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k most similar examples; each is among the k nearest of the index that gives its larger cosine."""
+        best: dict[int, float] = {}
+        for ix, v in ((self.every, every), (self.chosen, chosen)):
+            for i, s in zip(*ix.closest(*v, without)):
+                best[int(i)] = max(best.get(int(i), 0.0), float(s))
+        found = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[: self.conf.k]
+        return np.array([i for i, _ in found], np.int64), np.array([s for _, s in found], float)
+
+    def votes(self, every: tuple, chosen: tuple, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        at, s = self.nearest(every, chosen, without)
         s2 = s * s
-        return (float((s2 * self.labels[at]).sum() / (s2.sum() + 0.05)) if len(at) else 0.0), at
+        return (float((s2 * self.labels[at]).sum() / (s2.sum() + 0.05)) if len(at) else 0.0), at, s
 
-    def calibrate(self) -> Index:
+    def calibrate(self) -> Examples:
         """A logistic curve of votes to labels on the examples, each without itself; ridge keeps it finite."""
-        x = np.array([self.votes(v, i)[0] for i, v in enumerate(self.vectors)])
+        x = np.array([self.votes(e, c, i)[0] for i, (e, c) in enumerate(zip(self.every.rows, self.chosen.rows))])
         a, b = 6.0, -3.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-(a * x + b)))
@@ -139,46 +191,44 @@ class Index:
             m = np.array([[(h * x * x).sum() + 1e-2, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-2]])
             a, b = np.array([a, b]) - np.clip(np.linalg.solve(m, g), -2, 2)
         self.slope, self.shift = max(float(a), 0.0), float(b)
+        self.every.rows = self.chosen.rows = None  # not needed to score
         return self
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        v = self.vector(terms_in(text, self.idf))
-        key = tuple(sorted((t, round(x, 12)) for t, x in v.items()))
-        if key not in self._memo:
-            if len(self._memo) > 50_000:
-                self._memo.clear()
-            vote, at = self.votes(v)
-            self._memo[key] = (float(1 / (1 + np.exp(-(self.slope * vote + self.shift)))), at.tolist())
-        return self._memo[key]
-
-
-def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "label", conf: Nearest = Nearest()) -> Index | None:
-    """An index over a sample of ``labelled`` (by a hash of the text, at even rates within each class), or None when a class
-    has no rows. Rows with a null label teach nothing."""
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("x"), F.col(label).cast("int").alias("y"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).where("y IN (0, 1)").collect()}
+    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
+        """The calibrated score, the nearest examples and their similarities."""
+        terms = _terms(text)
+        vote, at, s = self.votes(self.every.weigh(terms), self.chosen.weigh(terms))
+        return float(1 / (1 + np.exp(-(self.slope * vote + self.shift)))), at, s
+
+
+def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "label", conf: Nearest = Nearest()) -> Examples | None:
+    """Indexes over the distinct texts of ``labelled``, in each class those of the smallest hashes, or None when a class has no
+    rows. Where copies differ in their label, the highest counts. Rows with a null label teach nothing."""
+    rows = labelled.where(F.col(label).isin(0, 1)).groupBy(F.coalesce(F.col(text), F.lit("")).alias("x")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    rows = saved(rows)
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     per_term = rows.select("y", F.explode(F.array_distinct(tokens(F.col("x")))).alias("t")).groupBy("t").agg(
         F.sum(1 - F.col("y")).alias("k"), F.sum("y").alias("kt"))
     llr = _llr(F.col("k").cast("double"), F.lit(float(sizes[0])), F.col("kt").cast("double"), F.lit(float(sizes[1])))
     chosen = [r["t"] for r in per_term.select("t", "k", "kt", llr.alias("s")).where((F.col("s") >= conf.min_llr) & (F.col("kt") >= conf.min_share * (F.col("k") + F.col("kt")))).orderBy(F.desc("s"), "t").limit(conf.terms).collect()]
-    known = _known(chosen)
-    df = {r["t"]: r["n"] for r in docs.select(F.explode(F.array_distinct(known(text))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    total = docs.count()
-    idf = {t: float(np.log((1 + total) / (1 + df.get(t, 0))) + 1) for t in chosen}
-    u = F.pmod(F.xxhash64(F.coalesce("x", F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rate = F.when(F.col("y") == 1, conf.examples / sizes[1]).otherwise(conf.examples / sizes[0])
-    # only the chosen terms of an example come to the driver
-    sample = rows.where("y IN (0, 1)").where(u < rate).select(known("x").alias("x"), "y").toPandas()
-    sample = sorted((int(y), sorted(x)) for x, y in zip(sample["x"], sample["y"]))
-    return Index(conf, idf, [x for _, x in sample], np.array([y for y, _ in sample])).calibrate()
-
-
-def scored(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:
-    """``docs`` with score and predicted. Null and empty texts are scored like texts without any chosen term; without an
+    sample = [(r["x"], y) for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(conf.examples).select("x").collect()]
+    held = set(chosen)
+    for x, _ in sample:  # one text's terms at a time
+        held.update(_terms(x))
+    every = sorted(held)
+    del held
+    df, total = document_frequencies(docs, every, text), docs.count()
+    idf = dict(zip(every, (np.log((1 + total) / (1 + df)) + 1).tolist()))
+    labels = np.array([y for _, y in sample])
+    return Examples(conf, *(Index(conf, known, (_terms(x) for x, _ in sample), labels) for known in (idf, {t: idf[t] for t in chosen}))).calibrate()
+
+
+def scored(docs: DataFrame, index: Examples | None, text: str = "text") -> DataFrame:
+    """``docs`` with score and predicted. Null and empty texts are scored like texts without any known term; without an
     index all scores are 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * examples vectors over terms
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * examples texts
     limit = index.conf.threshold if index else 1.0
 
     @F.pandas_udf("double")

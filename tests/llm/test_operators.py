@@ -168,6 +168,23 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.toxicity_table(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_keeps_rare_terms(spark):
+    """A copy of a labelled toxic text is near it even if no word of it separates the classes; copies give a word no weight."""
+    rng = random.Random(4)
+    plain = [(i, prose(rng, 30), 0) for i in range(300)]
+    toxic = [(1000 + i, prose(rng, 30) + " foulness", 1) for i in range(60)]
+    odd = prose(rng, 30, "q")  # words of no other text
+    rare = [(i, odd, 1) for i in range(2000, 2003)] + [(i, prose(random.Random(9), 30, "z"), 1) for i in range(3000, 3200)]
+    rows = plain + toxic + rare
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t, _ in rows], SCHEMA)
+    learned = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, label int")
+    index = toxicity.fit(learned, docs)
+    assert set(index.chosen.terms) == {"foulness", "fouln~"}
+    assert set(odd.split(" ")) <= set(index.every.terms)
+    assert index.score(odd)[0] >= 0.7 and index.score(odd)[0] > index.score("")[0]
+    assert len(index.labels) == 300 + 60 + 2
+
+
 # quality
 
 
