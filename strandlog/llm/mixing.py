@@ -1,8 +1,8 @@
 """Sampling a corpus to target weights of sources, languages and topics, by iterative proportional fitting.
 
 Tokens are summed per (source, language, topic) cell; the cells' weights are raked to each marginal in turn; a document
-is kept with the probability of its cell, which makes the expected token shares those of the raked table. DataFrame
-functions only. Documents are read twice; between, only cells are shuffled, already combined per task.
+has the probability of its cell, relative to the largest, which makes the expected token shares those of the raked table; a
+sample takes the same factors at the scale of a token budget. DataFrame functions only. Documents are read twice; between, only cells are shuffled, already combined per task.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ MARGINS = ("m_source", "m_lang", "m_topic")
 
 @dataclass(frozen=True)
 class Mix:
-    """power: a marginal's target share is its natural one to this power, normalised. rounds: rakes of each marginal."""
+    """power: a marginal's target share is its natural one to this power, normalised. rounds: rakes of each marginal. budget: expected tokens of a
+    sample, as a share of all tokens, less what cells lack that are kept whole."""
 
     power: float = 0.9
     rounds: int = 6
+    budget: float = 0.6
 
 
 def topic(text: Column) -> Column:
@@ -50,7 +52,11 @@ def unit(key: Column) -> Column:
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", mix: Mix = Mix()) -> DataFrame:
-    """``docs`` with a struct column ``mixture``: tokens, topic, probability and kept.
+    """``docs`` with a struct column ``mixture``: tokens, topic, probability, kept, rate and sampled.
+
+    probability and kept sample down only, so that the cell of the largest factor, however small, sets the rate of all.
+    rate and sampled are of a sample of the token budget, whose scale no single cell sets: cells that would need more than
+    they hold are kept whole, and the others keep their raked shares among each other.
 
     tokens: words plus one, so that empty texts weigh something. A null text counts as empty; null sources and
     languages are classes of their own. Rows with the same key fare alike in the same cell. One column named
@@ -64,13 +70,14 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("m_lang"), topic(whole).alias("m_topic")))
     x = F.col("mixture")
     cells = saved(counted.groupBy(*[x[m].alias(m) for m in MARGINS]).agg(F.sum(x["tokens"]).alias("tokens")))
-    raked = saved(_rake(cells, mix).select(*MARGINS, "factor"))
-    top = raked.agg(F.max("factor").alias("top"))  # one row
+    raked = saved(_rake(cells, mix).select(*MARGINS, "tokens", "factor"))
+    top = raked.agg(F.max("factor").alias("top"), (F.lit(mix.budget) * F.sum("tokens") / F.sum(F.col("tokens") * F.col("factor"))).alias("scale"))  # one row
     rates = saved(raked.join(F.broadcast(top), F.lit(True), "left").select(
-        *[F.col(m).alias("_" + m) for m in MARGINS], F.round(F.col("factor") / F.col("top"), 6).alias("_p")))
+        *[F.col(m).alias("_" + m) for m in MARGINS], F.round(F.col("factor") / F.col("top"), 6).alias("_p"), F.least(F.lit(1.0), F.round(F.col("factor") * F.col("scale"), 6)).alias("_r")))
     on = [x[m] == F.col("_" + m) for m in MARGINS]
     return counted.join(rates, on).withColumn("mixture", F.struct(
-        x["tokens"], x["m_topic"].alias("topic"), F.col("_p").alias("probability"), (unit(F.col(key)) < F.col("_p")).alias("kept"))
+        x["tokens"], x["m_topic"].alias("topic"), F.col("_p").alias("probability"), (unit(F.col(key)) < F.col("_p")).alias("kept"),
+        F.col("_r").alias("rate"), (unit(F.col(key)) < F.col("_r")).alias("sampled"))
     ).select(*docs.columns, "mixture")
 
 
@@ -81,8 +88,8 @@ def mix_table(docs: DataFrame, key: str = "doc_id", mix: Mix = Mix(), **names) -
 
 
 def sample(docs: DataFrame, key: str = "doc_id", mix: Mix = Mix(), **names) -> DataFrame:
-    """The rows that the mix keeps, with their columns."""
-    return mixed(docs, key, mix=mix, **names).where(F.col("mixture")["kept"]).select(*docs.columns)
+    """The rows of a sample of the mix's token budget, with their columns."""
+    return mixed(docs, key, mix=mix, **names).where(F.col("mixture")["sampled"]).select(*docs.columns)
 
 
 def oracle(mix: Mix = Mix()) -> str:

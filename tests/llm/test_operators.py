@@ -267,6 +267,14 @@ def test_mixing_nulls(docs, none):
     assert mixing.sample(none).count() == 0
 
 
+def test_mixing_odd_row(spark):
+    """One row of a source and language of its own hardly changes what a sample holds of the others."""
+    rows = [(i, "a b c " * 2000, ("en", "de")[i % 3 == 0], f"s{i % 4}", 1) for i in range(800)]
+    odd = (9999, "x", None, None, 1)
+    plain, more = (mixing.sample(spark.createDataFrame(t, SCHEMA)).where("doc_id < 9999").count() for t in (rows, rows + [odd]))
+    assert 0.55 * 800 < plain < 0.65 * 800 and abs(more - plain) < 0.03 * 800
+
+
 # language model
 
 
