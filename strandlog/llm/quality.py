@@ -15,8 +15,6 @@ SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 #: Phrases of page furniture, lower-cased.
 BOILERPLATE = ("accept all cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy",
                "share this page", "sign up for our newsletter", "subscribe to our newsletter", "terms of service", "terms of use")
-#: A word of each phrase. A phrase counts in texts that have its word, in lower, capital or upper case.
-TRIGGERS = ("all", "click", "cookie", "javascript", "ipsum", "privacy", "share", "newsletter", "terms")
 
 
 @dataclass(frozen=True)
@@ -24,8 +22,7 @@ class LineRules:
     """Limits of the rules, all inclusive on the passing side.
 
     max_symbols: symbols per hundred words of a line. max_bars: navigation separators per hundred words. max_bangs:
-    words ending in "!!" per hundred. max_repeats: words that the next one repeats, per hundred, in texts that have some
-    word three times in a row.
+    words ending in "!!" per hundred. max_repeats: words that the next one repeats, per hundred.
     min_words: lines with fewer words are judged by the boilerplate rule alone, if they end in punctuation or not.
     max_unended: lines of at least so many words must have some sentence punctuation. min_kept: hundredths of the
     document's words that must survive. min_total, max_window_repeats: the base rules.
@@ -56,18 +53,18 @@ WORD = "[^ \\t\\n\\x0B\\f\\r]++"
 def line_fails(line: Column, rules: LineRules, furniture: Column, symbols: Column, marked: Column) -> Column:
     """Whether a line is page furniture or broken text. Blank lines never fail.
 
-    furniture, symbols, marked: whether the whole text has a trigger word of the phrases; any symbol; and a word that
-    ends in "!!" or stands three times in a row. Where it has none, those rules don't apply and nothing is counted.
+    furniture, symbols, marked: whether the whole text has one of the phrases; any symbol; and a word that ends in "!!"
+    or that the next one repeats. A line can't have what its text has not, so these only save the counting.
     """
     def broken(n):
         many = lambda pattern, limit: _count(line, pattern) * 100 > n * limit
         marks = many("[#*$%&<>]", rules.max_symbols) | many("[|]", rules.max_bars)
-        repeats = many("!!(?=[ \\t\\r]|$)", rules.max_bangs) | many("(?<![^ \\t])([^ \\t]++)(?=[ \\t]++\\1(?:[ \\t]|$))", rules.max_repeats)
+        repeats = many("!!(?=[ \\t\\x0B\\f\\r]|$)", rules.max_bangs) | many("(?<![^ \\t\\x0B\\f\\r])([^ \\t\\x0B\\f\\r]++)(?=[ \\t\\x0B\\f\\r]++\\1(?:[ \\t\\x0B\\f\\r]|$))", rules.max_repeats)
         return (n >= rules.min_words) & ((symbols & marks) | (marked & repeats))
 
     words = F.array(_count(line, WORD))  # an array of one, so that its lambda counts the words once
     unended = ~line.rlike("[.!?:;,…。]") & (_count(line, WORD) >= rules.max_unended)
-    return (furniture & _has_phrase(F.lower(line))) | unended | ((symbols | marked) & F.exists(words, broken))
+    return (furniture & F.exists(F.array(F.lower(line)), _has_phrase)) | unended | ((symbols | marked) & F.exists(words, broken))
 
 
 def _has_phrase(low: Column) -> Column:
@@ -94,13 +91,12 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
     q = F.col("quality")
     n = F.size(q["w"])
     # a window is known by the hash of its words
-    stutter = F.size(F.filter(q["w"], lambda x, i: ((x == F.get(q["w"], i + 1)) & (x == F.get(q["w"], i + 2))) | x.endswith("!!")))
-    triggers = F.array(*[F.lit(v) for t in TRIGGERS for v in (t, t.capitalize(), t.upper())])
+    stutter = F.size(F.filter(q["w"], lambda x, i: F.coalesce(x == F.get(q["w"], i + 1), F.lit(False)) | x.endswith("!!")))
     worded = F.filter(q["lines"], lambda x: x.rlike("[^ \\t\\x0B\\f\\r]"))
     step = step.withColumn("quality", F.struct(
         q["text"].alias("text"), n.cast("long").alias("n_words"), F.length(F.array_join(q["w"], "")).cast("long").alias("word_chars"),
         _count(q["text"], "[#*$%&|<>]").cast("long").alias("n_symbols"), F.transform(q["w"], lambda x: F.xxhash64(x)).alias("h"), worded.alias("worded"), q["lines"].alias("lines"),
-        F.arrays_overlap(q["w"], triggers).alias("furniture"), (stutter > 0).alias("marked")))
+        F.exists(F.array(F.lower(q["text"])), _has_phrase).alias("furniture"), (stutter > 0).alias("marked")))
     # hashes of 2, 4 and then 8 words
     fields = ("text", "n_words", "word_chars", "n_symbols", "worded", "lines", "furniture", "marked")
     for k in (1, 2, 4):

@@ -211,6 +211,14 @@ def test_quality_removes_lines(spark):
     assert len(out) == 1 and "Click" not in out[0].text and out[0].n_chars == len(out[0].text)
 
 
+def test_quality_judges_each_line(spark):
+    """Phrases in any case and punctuation, and words doubled but never tripled, fail in a text without any other mark."""
+    bad = ["Please enable JavaScript, as this page needs it.", "Subscribe to our newsletter!", "(Click here), or wait.", "Lorem ipsum, dolor sit amet.",
+           "one one two two six six ten ten."]
+    rows = quality.quality_table(spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(bad)], SCHEMA))
+    assert {r.doc_id: r.n_removed_lines for r in rows.collect()} == dict.fromkeys(range(len(bad)), 1)
+
+
 # chat
 
 
