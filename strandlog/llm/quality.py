@@ -21,10 +21,12 @@ BOILERPLATE = ("accept all cookies", "all rights reserved", "click here", "cooki
 class LineRules:
     """Limits of the rules, all inclusive on the passing side.
 
-    max_symbols: symbols per hundred words of a line. max_bars: navigation separators per hundred words. max_bangs:
+    max_symbols: symbols per hundred words of a line. max_bars: navigation separators (bars, bullets, arrows) per hundred
+    words between them, in lines of two separators or more. max_bangs:
     words ending in "!!" per hundred. max_repeats: words that the next one repeats, per hundred.
-    min_words: lines with fewer words are judged by the boilerplate rule alone, if they end in punctuation or not.
-    max_unended: lines of at least so many words must have some sentence punctuation. min_kept: hundredths of the
+    min_words: lines with fewer words are short; the boilerplate and navigation rules alone judge them, and those without
+    punctuation at the end fail as a menu in runs of min_run or more, blank lines aside. Longer lines must end in sentence
+    punctuation; from max_unended words on, a paragraph may break off but must have a mark for every so many words. min_kept: hundredths of the
     document's words that must survive. min_total, max_window_repeats: the base rules.
     """
 
@@ -34,6 +36,7 @@ class LineRules:
     max_bangs: int = 30
     max_repeats: int = 30
     max_unended: int = 60
+    min_run: int = 4
     min_kept: int = 70
     min_total: int = 20
     max_window_repeats: int = 30
@@ -47,6 +50,11 @@ def _count(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern))
 
 
+MARK = "[.!?:;,…。！？：；，、؟،؛।॥։።]"
+ENDED = MARK + "[\"')\\]}»«”“’‘›‹*_`）」』】〉》]*+[ \\t\\x0B\\f\\r]*+$"
+SEPARATOR = "[|•·●■▪◦‣▶►▸→←⇒¦]"
+
+
 WORD = "[^ \\t\\n\\x0B\\f\\r]++"
 
 
@@ -58,13 +66,26 @@ def line_fails(line: Column, rules: LineRules, furniture: Column, symbols: Colum
     """
     def broken(n):
         many = lambda pattern, limit: _count(line, pattern) * 100 > n * limit
-        marks = many("[#*$%&<>]", rules.max_symbols) | many("[|]", rules.max_bars)
         repeats = many("!!(?=[ \\t\\x0B\\f\\r]|$)", rules.max_bangs) | many("(?<![^ \\t\\x0B\\f\\r])([^ \\t\\x0B\\f\\r]++)(?=[ \\t\\x0B\\f\\r]++\\1(?:[ \\t\\x0B\\f\\r]|$))", rules.max_repeats)
-        return (n >= rules.min_words) & ((symbols & marks) | (marked & repeats))
+        unended = ~line.rlike(ENDED) & ((n < rules.max_unended) | (_count(line, MARK) * rules.max_unended < n))
+        return (n >= rules.min_words) & ((symbols & many("[#*$%&<>]", rules.max_symbols)) | (marked & repeats) | unended)
 
+    # closed quotes are no arrows; the words are those between separators, spaced or not
+    bars = _count(line, SEPARATOR) + F.when(line.rlike("[«‹]"), 0).otherwise(_count(line, "[»›]"))
+    menu = F.exists(F.array(bars), lambda k: (k >= 2) & (k * 100 > _count(line, "[\\p{L}\\p{N}]++") * rules.max_bars))
     words = F.array(_count(line, WORD))  # an array of one, so that its lambda counts the words once
-    unended = ~line.rlike("[.!?:;,…。]") & (_count(line, WORD) >= rules.max_unended)
-    return (furniture & F.exists(F.array(F.lower(line)), _has_phrase)) | unended | ((symbols | marked) & F.exists(words, broken))
+    return (furniture & F.exists(F.array(F.lower(line)), _has_phrase)) | menu | F.exists(words, broken)
+
+
+def line_kind(line: Column, rules: LineRules) -> Column:
+    """b: blank; s: short, without punctuation at the end; x: other."""
+    return F.transform(F.array(_count(line, WORD)), lambda n: F.when(n == 0, "b").when((n < rules.min_words) & ~line.rlike(ENDED), "s").otherwise("x"))[0]
+
+
+def _menus(kinds: Column, rules: LineRules) -> Column:
+    """The kinds of all lines, one letter each, with m for s in runs of min_run or more."""
+    pieces = F.regexp_extract_all(kinds, F.lit("s[sb]*+|[^s]++"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x: F.when(F.length(F.translate(x, "bx", "")) >= rules.min_run, F.translate(x, "s", "m")).otherwise(x)), "")
 
 
 def _has_phrase(low: Column) -> Column:
@@ -111,7 +132,12 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
     s = F.when(repeated, F.sort_array(F.transform(q["h"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none)
     step = step.withColumn("quality", F.struct(
         *[q[c].alias(c) for c in ("text", "n_words", "word_chars", "n_symbols")], s.alias("s"), lines.alias("lines"),
-        (F.size(q["worded"]) - F.size(F.array_distinct(q["worded"]))).cast("long").alias("n_dup_lines")))
+        (F.size(q["worded"]) - F.size(F.array_distinct(q["worded"]))).cast("long").alias("n_dup_lines"),
+        F.array_join(F.transform(q["lines"], lambda x: line_kind(x, rules)), "").alias("kinds")))
+    lines = F.zip_with(q["lines"], F.split(_menus(q["kinds"], rules), ""), lambda x, kind: F.struct(
+        x["line"].alias("line"), (x["fails"] | (kind == "m")).alias("fails")))
+    step = step.withColumn("quality", F.struct(
+        *[q[c].alias(c) for c in ("text", "n_words", "word_chars", "n_symbols", "s", "n_dup_lines")], lines.alias("lines")))
     s = q["s"]
     twice = F.filter(F.transform(s, lambda x, k: F.when(
         (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"])), lambda i: i.isNotNull())

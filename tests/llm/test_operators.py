@@ -219,6 +219,20 @@ def test_quality_judges_each_line(spark):
     assert {r.doc_id: r.n_removed_lines for r in rows.collect()} == dict.fromkeys(range(len(bad)), 1)
 
 
+def test_quality_page_furniture(spark):
+    good = "A plain line, said the author, needs no more than “this.”"
+    menus = ["Products and services of our house", "Home|About|Contact|Login", "Home • About • Contact", "Start → Shop → Shoes", "• Home\n\nAbout us\nContact\n\nLog in",
+             "one, two or three words of a menu " * 2]
+    fine = [good, "A heading\n" + good, "- No.\n- Yes.\n- Perhaps.\n- Never.", "« Oui » « Non » dit-il, et « encore » et « toujours ».",
+            "A long paragraph goes on, word by word. " * 9 + "It breaks off"]
+    texts = dict(enumerate(menus + fine))
+    got = by_id(quality.quality_table(spark.createDataFrame([(i, x, "en", "s", 0) for i, x in texts.items()], SCHEMA)))
+    for i, x in texts.items():
+        lines = sum(bool(line.strip()) for line in x.split("\n"))
+        assert got[i].n_removed_lines == (lines if i < len(menus) else 0), x
+        assert got[i].n_lines == x.count("\n") + 1
+
+
 # chat
 
 
