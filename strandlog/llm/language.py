@@ -8,6 +8,7 @@ holds one batch of windows at a time, however long a text is.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.words import LOWER, blocks
+from strandlog.llm.words import LOWER, blocks, mixed
 
 
 @dataclass(frozen=True)
 class ByteCnn:
-    """per_class: labelled rows of a class that training uses at most, about. sample_chars: how much of such a row's text.
+    """per_class: labelled rows of a class that training uses at most, about. sample_chars: about how much of such a
+    row's text, in windows from all over it.
     window: bytes of a window. batch: windows scored at once."""
 
     per_class: int = 500
@@ -44,6 +46,15 @@ def windows(data: np.ndarray, size: int) -> np.ndarray:
     return out.reshape(n, size)
 
 
+def some_windows(text: str, conf: ByteCnn) -> np.ndarray:
+    """Windows of the whole text: those of the smallest hashes of their places, as many as ``sample_chars`` fill."""
+    data = text.encode()
+    out, most = windows(LOWER[np.frombuffer(data, np.uint8)], conf.window), -(-conf.sample_chars // conf.window)
+    if len(out) <= most:
+        return out
+    return out[np.sort(np.argsort(mixed(np.arange(len(out), dtype=np.uint64) + np.uint64(zlib.crc32(data) << 20)))[:most])]
+
+
 class Network:
     """Parameters and passes. All arrays are float32."""
 
@@ -129,16 +140,21 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", conf: ByteCn
     sizes = known.groupBy("y").agg(F.count("*").alias("n"))
     rate = F.lit(float(conf.per_class)) / F.col("n")
     u = F.pmod(F.xxhash64("x"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    got = known.join(F.broadcast(sizes), "y").where(u < rate).select("y", F.substring("x", 1, conf.sample_chars).alias("x")).toPandas()
+
+    @F.pandas_udf("binary")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: some_windows(t, conf).tobytes())
+
+    got = known.join(F.broadcast(sizes), "y").where(u < rate).select("y", cut("x").alias("x")).toPandas()
     if not len(got):  # tiny classes by chance: take them whole
-        got = known.select("y", F.substring("x", 1, conf.sample_chars).alias("x")).limit(conf.per_class).toPandas()
+        got = known.limit(conf.per_class).select("y", cut("x").alias("x")).toPandas()
     if not len(got):
         return None
     got = got.sort_values(["y", "x"])
     classes = sorted(set(got["y"]))
     xs, ys = [], []
     for y, x in zip(got["y"], got["x"]):
-        part = windows(LOWER[np.frombuffer(x.encode(), np.uint8)], conf.window)
+        part = np.frombuffer(x, np.uint8).reshape(-1, conf.window)
         xs.append(part)
         ys += [classes.index(y)] * len(part)
     return Network(conf, classes).fit(np.concatenate(xs), np.array(ys))

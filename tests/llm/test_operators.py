@@ -371,6 +371,16 @@ def test_language(spark, none):
     assert language.language_table(none).count() == 0
 
 
+def test_language_learns_whole_texts(spark):
+    """Texts that start like those of another language teach their own from the rest."""
+    rng = random.Random(6)
+    head = lambda: prose(rng, 500)
+    rows = [(i, head() + (" " + prose(rng, 1500, "é") if i % 2 else ""), "ab"[i % 2]) for i in range(40)]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(0, head()), (1, prose(rng, 300, "é"))], "doc_id long, text string")
+    assert [r.lang_pred for r in language.identify(asked, net).orderBy("doc_id").collect()] == ["a", "b"]
+
+
 # near duplicates
 
 
