@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.llm.words import LOWER, blocks, mixed
@@ -22,7 +22,7 @@ from strandlog.llm.words import LOWER, blocks, mixed
 
 @dataclass(frozen=True)
 class ByteCnn:
-    """per_class: labelled rows of a class that training uses at most, about. sample_chars: about how much of such a
+    """per_class: distinct labelled texts of a class that training uses at most. sample_chars: about how much of such a
     row's text, in windows from all over it.
     window: bytes of a window. batch: windows scored at once."""
 
@@ -134,20 +134,21 @@ class Network:
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", conf: ByteCnn = ByteCnn()) -> Network | None:
-    """A network over the labels of ``rows``, or None without labelled rows. The sample is by a hash of the text, at even
-    rates within each class (one row per class is broadcast, as the network has an output for each anyway), so its expected size is bounded by ``per_class`` times the number of classes."""
+    """A network over all labels of ``rows``, or None without labelled rows. The sample is the ``per_class`` distinct texts of
+    the smallest hashes in each class; to find them only hashes are shuffled, and of the texts only those, once a task."""
     known = rows.where(F.col(label).isNotNull() & F.col(text).rlike("\\p{L}")).select(F.col(label).alias("y"), F.col(text).alias("x"))
-    sizes = known.groupBy("y").agg(F.count("*").alias("n"))
-    rate = F.lit(float(conf.per_class)) / F.col("n")
-    u = F.pmod(F.xxhash64("x"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    h = F.xxhash64("x")
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    least = known.select("y", h.alias("h")).distinct().withColumn("n", place).where(F.col("n") <= conf.per_class)
+    least = least.select(F.col("y").alias("_y"), F.col("h").alias("_h"))
 
     @F.pandas_udf("binary")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: some_windows(t, conf).tobytes())
 
-    got = known.join(F.broadcast(sizes), "y").where(u < rate).select("y", cut("x").alias("x")).toPandas()
-    if not len(got):  # tiny classes by chance: take them whole
-        got = known.limit(conf.per_class).select("y", cut("x").alias("x")).toPandas()
+    # copies fall within their task first, so a hot text is cut once a task
+    picked = known.withColumn("h", h).join(F.broadcast(least), (F.col("y") == F.col("_y")) & (F.col("h") == F.col("_h")), "left_semi")
+    got = picked.groupBy("y", "h").agg(F.min("x").alias("x")).select("y", cut("x").alias("x")).toPandas()
     if not len(got):
         return None
     got = got.sort_values(["y", "x"])

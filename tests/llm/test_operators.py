@@ -381,6 +381,19 @@ def test_language_learns_whole_texts(spark):
     assert [r.lang_pred for r in language.identify(asked, net).orderBy("doc_id").collect()] == ["a", "b"]
 
 
+def test_language_keeps_copied_classes(spark):
+    """A class of many copies of few texts is learned, and no class has more than its number of texts."""
+    rng = random.Random(8)
+    rows = [(prose(rng, 30), "a") for _ in range(300)] + [(t, c) for c in "bcdefgh" for t in [prose(rng, 30, c)] * 300]
+    seen = []
+    fit = language.Network.fit
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language.Network, "fit", lambda net, x, y: seen.append(Counter(y.tolist())) or fit(net, x, y))
+        net = language.train(spark.createDataFrame(rows, "text string, lang string"), conf=language.ByteCnn(per_class=5, epochs=1))
+    assert net.classes == list("abcdefgh")
+    assert seen[0][0] <= 5 * 2 and all(seen[0][k] <= 2 for k in range(1, 8))
+
+
 # near duplicates
 
 
