@@ -1,13 +1,13 @@
 """Similarity self-join of texts by Jaccard of word shingles, by token-combination prefixes.
 
-A token is a shingle's hash. Tokens fall into classes by how often their hash cell occurs in the corpus: rare tokens
-count alone, frequent ones only in pairs and very frequent ones only in triples of the same token group (as in pkwise,
-Wang et al., SIGMOD 2016). A set's prefix, in the order rare, frequent, very frequent, is extended until destroying all
-its combinations takes more differing tokens than the threshold allows; so linked sets share a combination.
+A token is a shingle's hash. Tokens are ordered by how many documents their hash cell holds, rarest first, and fall into
+three classes: rare tokens count alone, frequent ones only in pairs and very frequent ones only in triples of the same
+token group (as in pkwise, Wang et al., SIGMOD 2016). A set's prefix in that order is extended until destroying all its
+combinations takes more differing tokens than the threshold allows; so linked sets share a combination.
 
 Phases, each written to the shared folder:
 
-1. cell counts of all tokens (a fixed number of cells, whatever the corpus), giving a class to each cell;
+1. document counts of all cells (a fixed number, whatever the corpus), giving an order and a class to each;
 2. one row per different set, with its signatures; copies of a set are collapsed before anything is compared;
 3. buckets of equal signatures: each member is a candidate of the bucket's least member only, verified exactly;
 4. components of these links; buckets whose members are then still in several components are compared component by
@@ -24,6 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,55 +35,76 @@ from strandlog.llm.words import mixed, text_shingles
 _U = np.uint64
 
 
+@dataclass(frozen=True)
+class Order:
+    """A level (0 to 255) for each cell, and the levels from which its tokens are of the second and third class."""
+
+    level: np.ndarray
+    frequent: int
+    very_frequent: int
+
+    def classes(self, levels: np.ndarray) -> np.ndarray:
+        return (levels >= self.frequent).astype(np.uint8) + (levels >= self.very_frequent)
+
+
 @dataclass(frozen=True)
 class NgramJoin:
     """Words of a shingle, the threshold in hundredths, and sizes of the plan (they don't change the result).
 
-    cell_bits: 2 ** cell_bits counters of the token order. frequent, very_frequent: times the mean count of a cell,
-    plus 64, from which its tokens are of the second and third class. block: sets compared with each other at once.
+    cell_bits: 2 ** cell_bits counters of the token order. frequent, very_frequent: documents by which a cell must exceed
+    the mean cell and six times its spread for its tokens to be of the second and third class. block: sets compared with
+    each other at once.
     """
 
     size: int = 4
     percent: int = 85
     cell_bits: int = 20
-    frequent: float = 2.0
-    very_frequent: float = 16.0
+    frequent: int = 8
+    very_frequent: int = 128
     block: int = 256
 
     # -- pure functions of one set -------------------------------------------------------------------------------
 
-    def prefix_signatures(self, tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Signatures of a set: its sorted distinct tokens, and the class of each cell.
+    def prefix_signatures(self, tokens: np.ndarray, order: Order) -> np.ndarray:
+        """Signatures of a set: its sorted distinct tokens, under the order of the cells.
 
-        Token groups depend on the size class of the larger set of a pair; so a set that may have a partner in the next
-        size class has signatures for that one as well.
+        Token groups depend on the size class of the larger set of a pair; so a set that may have partners in larger
+        size classes has signatures for those as well.
         """
         n = len(tokens)
         if not n or self._only_equal(n):
             return np.zeros(0, np.uint64)
-        cls = classes[tokens >> _U(64 - self.cell_bits)]
-        order = np.argsort(cls, kind="stable")
-        tokens, cls = tokens[order], cls[order]
+        level = order.level[tokens >> _U(64 - self.cell_bits)]
+        at = np.argsort(level, kind="stable")
+        tokens, cls = tokens[at], order.classes(level[at])
         need = n - -(-self.percent * n // 100) + 1
-        if len(cls) <= need or cls[need - 1] == 0:
+        if cls[need - 1] == 0:
             return tokens[:need]
-        top = n.bit_length() - 1
-        out = [self._signatures(tokens, cls, need, top)]
-        if (100 * n // self.percent).bit_length() - 1 > top:
-            out.append(self._signatures(tokens, cls, need, top + 1))
-        return np.unique(np.concatenate(out))
+        first, last = n.bit_length() - 1, (100 * n // self.percent).bit_length() - 1
+        return np.unique(np.concatenate([self._signatures(tokens, cls, need, c) for c in range(first, last + 1)]))
 
     def _only_equal(self, n: int) -> bool:
         """Whether a set of n tokens links with equal sets only, which are one row here."""
         return 100 * (n - 1) < self.percent * n and 100 * n < self.percent * (n + 1)
 
+    def _groups(self, size_class: int) -> int:
+        """Token groups of a size class; 0 where combinations could leave too few tokens to destroy.
+
+        A group wastes one token in pairs and two in triples. The smaller set of a pair has at least percent of 2 ** size_class
+        tokens, and percent of its own must outnumber the waste of all groups.
+        """
+        most = (self.percent**2 * (1 << size_class) // 10_000 - 1) // 3
+        return min(max(1, (1 << size_class) * (100 - self.percent) // 300), most)
+
     def _signatures(self, tokens: np.ndarray, cls: np.ndarray, need: int, size_class: int) -> np.ndarray:
-        groups = max(1, (1 << size_class) * (100 - self.percent) // 300)
+        groups = self._groups(size_class)
+        if groups < 1:
+            return tokens[:need]
         single = int(np.searchsorted(cls, 1))
         out, left = [tokens[: min(single, need)]], need - single
         held: dict[tuple[int, int], list[int]] = {}
         at = single
-        while left > 0 and at < len(tokens):
+        while left > 0:
             key = (int(cls[at]), int(tokens[at] % _U(groups)))
             members = held.setdefault(key, [])
             members.append(int(tokens[at]))
@@ -107,41 +129,50 @@ class NgramJoin:
             for i in range(len(counts)):
                 yield first + i, np.unique(hashes[at[i] : at[i + 1]])
 
-    def token_classes(self, docs: DataFrame, text: str) -> np.ndarray:
-        """Class (0, 1, 2) of each cell, from counts over all documents: a fixed number of bytes on the driver."""
+    def token_order(self, docs: DataFrame, text: str) -> Order:
+        """The order of the cells, from document counts over the whole table: a fixed number of bytes on the driver."""
         bits, slices = self.cell_bits, 64
+        schema = "slice int, counts binary"
+
+        def packed(keys, rows):
+            parts = [zlib.compress(x.tobytes(), 1) for x in rows]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
         def count(batches):
             cells = np.zeros(1 << bits, np.int64)
             for batch in batches:
-                for _, _, hashes, _ in text_shingles(batch.column(0), self.size):
-                    cells += np.bincount((hashes >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
-            parts = [zlib.compress(x.tobytes(), 1) for x in cells.reshape(slices, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+                for _, tokens in self._sets(batch.column(0)):  # distinct in their document
+                    np.add.at(cells, (tokens >> _U(64 - bits)).astype(np.int64), 1)
+            yield packed(range(slices), cells.reshape(slices, -1))
 
-        def add(batches):
-            total, key = 0, None
-            for batch in batches:
-                for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    key, total = s, total + np.frombuffer(zlib.decompress(x), np.int64)
-            if key is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slice", "counts"])
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros((1 << bits) // slices, np.int64)
+            for x in table.column("counts"):
+                total += np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
+            return pa.Table.from_batches([packed([table.column("slice")[0].as_py()], [total])])
 
-        schema = "slice int, counts binary"
         parts = docs.select(text).mapInArrow(count, schema)
         # two levels, so that no task adds up more than some hundreds of tables
         level = parts.groupBy("slice", (F.spark_partition_id() % 64).alias("g"))
-        summed = level.applyInArrow(lambda key, t: _only(add, t), schema).groupBy("slice").applyInArrow(lambda key, t: _only(add, t), schema)
+        summed = level.applyInArrow(lambda key, t: add(t), schema).groupBy("slice").applyInArrow(lambda key, t: add(t), schema)
         cells = np.zeros((slices, (1 << bits) // slices), np.int64)
         for row in summed.collect():
             cells[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-        cells = cells.reshape(-1)
-        mean = cells.mean()
-        return ((cells > self.frequent * mean + 64).astype(np.uint8) + (cells > self.very_frequent * mean + 64)).astype(np.uint8)
-
-    def digests(self, docs: DataFrame, key: str, text: str, classes: np.ndarray) -> DataFrame:
+        return self.ordered(cells.reshape(-1))
+
+    def ordered(self, cells: np.ndarray) -> Order:
+        """Levels that rise with a cell's count: even shares of the cells below the first limit, steps of a quarter above."""
+        usual = cells.mean() + 6 * cells.mean() ** 0.5
+        limits = [int(usual + self.frequent), int(usual + max(self.frequent, self.very_frequent))]
+        steps = np.quantile(cells, np.linspace(0, 1, 150)).astype(np.int64)
+        steps = np.concatenate((steps[steps < limits[0]], limits, (limits[0] * 1.25 ** np.arange(1, 100)).astype(np.int64)))
+        steps = np.unique(steps[steps <= max(limits[1], cells.max())])
+        level = np.searchsorted(steps, cells).astype(np.uint8)  # steps below the count
+        return Order(level, *(int(np.searchsorted(steps, x)) + 1 for x in limits))
+
+    def digests(self, docs: DataFrame, key: str, text: str, order: Order) -> DataFrame:
         """(key, n, fp, sigs) of every row: set size, 128-bit fingerprint of the set, and signatures."""
-        held = docs.sparkSession.sparkContext.broadcast(classes)
+        held = docs.sparkSession.sparkContext.broadcast(order)  # 2 ** cell_bits bytes
 
         def digest(batches):
             for batch in batches:
@@ -160,19 +191,25 @@ class NgramJoin:
         return docs.select(key, text).mapInArrow(digest, f"key {kind}, n long, fp binary, sigs array<long>")
 
     def token_sets(self, docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-        """(id, tokens) of the wanted(id, key, fp) sets: the texts are read again instead of kept."""
-        rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
-            wanted.withColumnRenamed("key", "want"), F.col("key").eqNullSafe(F.col("want"))).select("id", "fp", "text")
+        """(id, tokens) of the wanted(id, key, fp) sets: the texts are read again instead of kept.
+
+        A text is known by its key and its set's fingerprint, so rows with null or shared keys meet their own set only.
+        """
+        kind = dict(docs.dtypes)[key]
+
+        def tagged(batches):
+            for batch in batches:
+                fps = [_fingerprint(tokens) for _, tokens in self._sets(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), batch.column(1)], ["key", "fp", "text"])
+
+        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tagged, f"key {kind}, fp binary, text string")
+        wanted = wanted.select(F.col("key").alias("want"), F.col("fp").alias("want_fp"), "id")
+        rows = texts.join(wanted, (F.col("fp") == F.col("want_fp")) & F.col("key").eqNullSafe(F.col("want"))).groupBy("id").agg(F.first("text").alias("text"))
 
         def make(batches):
             for batch in batches:
-                ids, keep, sets = batch.column(0).to_pylist(), [], []
-                fps = batch.column(1).to_pylist()
-                for i, tokens in self._sets(batch.column(2)):
-                    if _fingerprint(tokens) == fps[i]:
-                        keep.append(ids[i])
-                        sets.append(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], ["id", "tokens"])
+                sets = [tokens.tobytes() for _, tokens in self._sets(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "tokens"])
 
         return rows.mapInArrow(make, "id long, tokens binary")
 
@@ -222,51 +259,59 @@ class NgramJoin:
 
     def components(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """(key, n_shingles, component) of every row. See ``similar_components``."""
-        classes = self.token_classes(docs, text)
-        rows = saved(self.digests(docs, key, text, classes))
-        sets = saved(rows.where("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+        order = self.token_order(docs, text)
+        signed = saved(self.digests(docs, key, text, order))
+        rows = saved(signed.select("key", "n", "fp"))
+        sets = saved(signed.where("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
                      .withColumn("id", F.monotonically_increasing_id()))
+        drop(signed)
         each = sets.select("id", "n", F.explode("sigs").alias("sig"))
-        buckets = each.groupBy("sig").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("least")).where("size > 1")
-        found = saved(each.join(buckets, "sig").select("sig", "id", "n", "size", F.col("least.id").alias("least"), F.col("least.n").alias("least_n")))
-        # the signatures have done their work: only lean tables stay
-        with_signatures = (rows, sets)
-        rows, sets = saved(rows.select("key", "n", "fp")), saved(sets.select("id", "fp", "key", "n"))
-        drop(*with_signatures)
-        fits = self.percent * F.greatest("n", "least_n") <= 100 * F.least("n", "least_n")
-        stars = found.where((F.col("id") != F.col("least")) & fits).select(F.col("least").alias("hub"), F.col("id").alias("other")).distinct()
+        # most signatures stand alone: only those of several sets go on
+        shared = each.groupBy("sig").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+        found = saved(each.join(shared, "sig"))
+        sets, signed = saved(sets.select("id", "fp", "key", "n")), sets
+        drop(signed)
+        stars = found.where("id <> least").select(F.col("least").alias("hub"), F.col("id").alias("other"), "n").distinct()
+        stars = stars.join(sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub").where(
+            self.percent * F.greatest("n", "hub_n") <= 100 * F.least("n", "hub_n")).select("hub", "other")
         stars = saved(stars)
-        ids = found.where("size > 2").select("id").union(stars.select("hub")).union(stars.select("other")).distinct()
-        tokens = saved(self.token_sets(docs, key, text, sets.select("id", "key", "fp").join(ids, "id", "left_semi")))
-        alone = stars.select("hub").union(stars.select("other")).distinct().select(F.col("hub").alias("group"), F.col("hub").alias("id"))
+        ends = stars.select(F.explode(F.array("hub", "other")).alias("id")).distinct()
+        tokens = saved(self.token_sets(docs, key, text, sets.join(ends, "id", "left_semi")))
+        alone = ends.select(F.col("id").alias("group"), "id")
         links = saved(self.verified(stars, alone, tokens))
+        drop(stars, tokens)
         stage = saved(components(links))
         # buckets in which several components still meet
-        open_ = found.where("size > 2").select("sig", "id", "n").join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = found.select("sig", "id", "n").join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = open_.groupBy("sig", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        spread = open_.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b")
-        open_ = saved(open_.join(spread.select("sig", "size"), "sig"))
+        spread = open_.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+        open_ = saved(open_.join(spread, "sig"))
         pairs = saved(self._component_pairs(open_))
+        drop(found, open_)
         if not pairs.isEmpty():
             groups = pairs.select(F.explode(F.array("a", "b")).alias("group")).distinct()
             members = stage.select(F.col("component").alias("group"), "id").join(groups, "group", "left_semi")
             lone = groups.join(stage.select(F.col("component").alias("group")), "group", "left_anti").select("group", F.col("group").alias("id"))
             members = saved(members.union(lone))
+            tokens = saved(self.token_sets(docs, key, text, sets.join(members.select("id"), "id", "left_semi")))
             size = members.groupBy("group").agg(F.count("*").alias("size"))
             sized = (pairs.join(size.select(F.col("group").alias("a"), F.col("size").alias("sa")), "a")
                      .join(size.select(F.col("group").alias("b"), F.col("size").alias("sb")), "b"))
             hubs = sized.select(F.when(F.col("sa") >= F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("hub"),
                                 F.when(F.col("sa") >= F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("other"))
             more = saved(self.verified(hubs, members, tokens))
-            drop(members)
+            drop(members, tokens)
             if not more.isEmpty():
+                drop(stage)
                 stage = saved(components(links.union(more)))
-        drop(found, stars, tokens, open_, pairs)
+            drop(more)
+        drop(pairs, links)
         # back to the rows: the least key of all sets of a component
         tagged = sets.select("id", "fp", "key").join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
         least = tagged.groupBy("component").agg(F.min("key").alias("least"))
-        named = tagged.join(least, "component").select("fp", "least")
-        out = rows.select("key", "n", "fp").join(named, "fp", "left")
+        named = saved(tagged.join(least, "component").select("fp", "least"))
+        drop(sets, stage)
+        out = rows.join(named, "fp", "left")
         return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                           F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
 
@@ -336,8 +381,6 @@ class _Held:
 
 
 def _fingerprint(tokens: np.ndarray) -> bytes:
-    import xxhash
-
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
