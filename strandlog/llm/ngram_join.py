@@ -9,10 +9,11 @@ Phases, each written to the shared folder:
 
 1. document counts of all cells (a fixed number, whatever the corpus), giving an order and a class to each;
 2. one row per different set, with its signatures; copies of a set are collapsed before anything is compared;
-3. buckets of equal signatures: each member is a candidate of the bucket's least member only, verified exactly;
-4. components of these links; buckets whose members are then still in several components are compared component by
-   component, each pair once, in blocks, until a link is found. So a large group of near copies costs about one
-   comparison per member and signature, and no link between components goes missing.
+3. buckets of equal signatures: each member is a candidate of one member of its bucket, the hub, verified exactly;
+   the hub has then met all others and leaves;
+4. components of these links; where several components still meet in a bucket, one of them is the hub of the next
+   turn, until the pairs that are left are few, and all of them are compared, in blocks, until a link is found. So a
+   large group of near copies costs about one comparison per member and turn, and no link goes missing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.components import components
@@ -53,7 +54,8 @@ class NgramJoin:
 
     cell_bits: 2 ** cell_bits counters of the token order. frequent, very_frequent: documents by which a cell must exceed
     the mean cell and six times its spread for its tokens to be of the second and third class. block: sets compared with
-    each other at once.
+    each other at once. hubs: that the buckets of one group choose from. turns: of hubs at most, before all pairs of
+    components that still meet are compared; they are earlier when there are at most ``crowd`` of them for each member.
     """
 
     size: int = 4
@@ -62,6 +64,9 @@ class NgramJoin:
     frequent: int = 8
     very_frequent: int = 128
     block: int = 256
+    hubs: int = 8
+    turns: int = 4
+    crowd: int = 16
 
     # -- pure functions of one set -------------------------------------------------------------------------------
 
@@ -267,45 +272,36 @@ class NgramJoin:
         drop(signed)
         each = sets.select("id", "n", F.explode("sigs").alias("sig"))
         # most signatures stand alone: only those of several sets go on
-        shared = each.groupBy("sig").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-        found = saved(each.join(shared, "sig"))
+        shared = each.groupBy("sig").agg(self._hub("id", 0), F.count("*").alias("size")).where("size > 1")
+        found = saved(each.join(shared, "sig").withColumn("hub", F.col("hub").bitwiseXOR(self._turned(0))))
         sets, signed = saved(sets.select("id", "fp", "key", "n")), sets
         drop(signed)
-        stars = found.where("id <> least").select(F.col("least").alias("hub"), F.col("id").alias("other"), "n").distinct()
-        stars = stars.join(sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub").where(
-            self.percent * F.greatest("n", "hub_n") <= 100 * F.least("n", "hub_n")).select("hub", "other")
-        stars = saved(stars)
-        ends = stars.select(F.explode(F.array("hub", "other")).alias("id")).distinct()
-        tokens = saved(self.token_sets(docs, key, text, sets.join(ends, "id", "left_semi")))
-        alone = ends.select(F.col("id").alias("group"), "id")
-        links = saved(self.verified(stars, alone, tokens))
-        drop(stars, tokens)
-        stage = saved(components(links))
-        # buckets in which several components still meet
-        open_ = found.select("sig", "id", "n").join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = open_.groupBy("sig", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        spread = open_.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-        open_ = saved(open_.join(spread, "sig"))
-        pairs = saved(self._component_pairs(open_))
-        drop(found, open_)
-        if not pairs.isEmpty():
-            groups = pairs.select(F.explode(F.array("a", "b")).alias("group")).distinct()
-            members = stage.select(F.col("component").alias("group"), "id").join(groups, "group", "left_semi")
-            lone = groups.join(stage.select(F.col("component").alias("group")), "group", "left_anti").select("group", F.col("group").alias("id"))
-            members = saved(members.union(lone))
-            tokens = saved(self.token_sets(docs, key, text, sets.join(members.select("id"), "id", "left_semi")))
-            size = members.groupBy("group").agg(F.count("*").alias("size"))
-            sized = (pairs.join(size.select(F.col("group").alias("a"), F.col("size").alias("sa")), "a")
-                     .join(size.select(F.col("group").alias("b"), F.col("size").alias("sb")), "b"))
-            hubs = sized.select(F.when(F.col("sa") >= F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("hub"),
-                                F.when(F.col("sa") >= F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("other"))
-            more = saved(self.verified(hubs, members, tokens))
-            drop(members, tokens)
-            if not more.isEmpty():
-                drop(stage)
-                stage = saved(components(links.union(more)))
-            drop(more)
-        drop(pairs, links)
+        stars = found.where("id <> hub").select("hub", F.col("id").alias("other"), "n").distinct()
+        stars = saved(stars.join(sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub").where(
+            self.percent * F.greatest("n", "hub_n") <= 100 * F.least("n", "hub_n")).select("hub", "other"))
+        met = saved(found.where("size > 2 AND id <> hub").select("sig", "id", "n"))
+        drop(found)
+        alone = stars.select(F.explode(F.array("hub", "other")).alias("id")).distinct().select(F.col("id").alias("group"), "id")
+        stage = self._linked_by(docs, key, text, sets, stars, alone)
+        for turn in range(1, self.turns + 2):
+            named = met.join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            open_ = named.groupBy("sig", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+            spread = open_.groupBy("sig").agg(self._hub("component", turn), F.count("*").alias("size")).where("size > 1")
+            open_ = saved(open_.join(spread, "sig").withColumn("hub", F.col("hub").bitwiseXOR(self._turned(turn))))
+            rows_, crowd = open_.agg(F.count("*"), F.avg(F.col("size") - 1) / 2).first()
+            last = turn > self.turns or not rows_ or crowd <= self.crowd
+            if last:
+                pairs = self._component_pairs(open_)
+            else:
+                pairs = open_.where("component <> hub").select(F.least("hub", "component").alias("a"), F.greatest("hub", "component").alias("b")).distinct()
+                met, before = saved(named.join(open_.select("sig", "hub").distinct(), "sig").where("component <> hub").select("sig", "id", "n")), met
+                drop(before)
+            if rows_:
+                stage = self._compared(docs, key, text, sets, saved(pairs), stage)
+            drop(open_)
+            if last:
+                break
+        drop(met)
         # back to the rows: the least key of all sets of a component
         tagged = sets.select("id", "fp", "key").join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
         least = tagged.groupBy("component").agg(F.min("key").alias("least"))
@@ -315,6 +311,38 @@ class NgramJoin:
         return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"),
                           F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
 
+    def _turned(self, turn: int) -> Column:
+        """A number for the bucket of a row; ids are ordered after an exclusive or with it, so hubs change with turn and bucket."""
+        return F.xxhash64(F.lit(turn), F.pmod("sig", F.lit(self.hubs)))
+
+    def _hub(self, id_: str, turn: int) -> Column:
+        return F.min(F.col(id_).bitwiseXOR(self._turned(turn))).alias("hub")
+
+    def _linked_by(self, docs: DataFrame, key: str, text: str, sets: DataFrame, hubs: DataFrame, members: DataFrame, stage: DataFrame | None = None) -> DataFrame:
+        """(id, component) after the links that hubs(hub, other) and members(group, id) lead to, and those of ``stage``."""
+        tokens = saved(self.token_sets(docs, key, text, sets.join(members.select("id"), "id", "left_semi")))
+        links = saved(self.verified(hubs, members, tokens))
+        drop(hubs, tokens)
+        edges = links if stage is None else links.union(stage.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        out = saved(components(edges))
+        drop(links, *([] if stage is None else [stage]))
+        return out
+
+    def _compared(self, docs: DataFrame, key: str, text: str, sets: DataFrame, pairs: DataFrame, stage: DataFrame) -> DataFrame:
+        """The stage after pairs(a, b) of components have been compared, the larger of each as the hub."""
+        groups = pairs.select(F.explode(F.array("a", "b")).alias("group")).distinct()
+        members = stage.select(F.col("component").alias("group"), "id").join(groups, "group", "left_semi")
+        lone = groups.join(stage.select(F.col("component").alias("group")), "group", "left_anti").select("group", F.col("group").alias("id"))
+        members = saved(members.union(lone))
+        size = members.groupBy("group").agg(F.count("*").alias("size"))
+        sized = (pairs.join(size.select(F.col("group").alias("a"), F.col("size").alias("sa")), "a")
+                 .join(size.select(F.col("group").alias("b"), F.col("size").alias("sb")), "b"))
+        hubs = saved(sized.select(F.when(F.col("sa") >= F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("hub"),
+                                  F.when(F.col("sa") >= F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("other")))
+        out = self._linked_by(docs, key, text, sets, hubs, members, stage)
+        drop(pairs, members)
+        return out
+
     def _component_pairs(self, members: DataFrame) -> DataFrame:
         """Different (a, b) components that meet in a bucket of members(sig, component, lo, hi, size) and may be near in size."""
         side = self.block
