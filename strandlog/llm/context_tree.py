@@ -3,8 +3,10 @@
 Each byte is eight binary decisions; every decision has a tree of contexts of 0 to ``DEPTH`` earlier bytes whose
 Krichevsky-Trofimov estimates are mixed across all depths, by the weights that the training counts give. All counts are
 kept, exactly, in tables that grow with the corpus; nothing of that size goes to the driver or to all executors.
-Texts lie in blocks of bounded size, and each block is joined with the few entries that its own texts ask for.
-Subtrees of different last bytes are independent but for the root, whose 255 nodes are summed up on the driver.
+
+Texts lie in blocks of bounded size. A block's different keys (context and byte, or word) are sent as packed arrays, one
+row per block and bucket, to where the bucket's keys of all blocks meet; the answers go back to the block the same way.
+A bucket holds whole subtrees of two bytes, so only the nodes of no and of one byte are summed up on the driver.
 """
 
 from __future__ import annotations
@@ -14,16 +16,19 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.language import held_out
 from strandlog.llm.scratch import drop, saved
-from strandlog.llm.words import LOWER, blocks, word_hashes, word_spans
+from strandlog.llm.words import LOWER, blocks, mixed, word_hashes, word_spans
 
 DEPTH = 5
-BLOCK = 8_000_000
-_END = np.int64(-0x61C8864680B583EB)  # the key of the end token
+#: Bytes of a block, buckets, and partitions whose blocks meet in one task for a bucket.
+BLOCK, BUCKETS, TOGETHER = 48_000_000, 256, 256
+_WORD = np.int64(1 << 62)  # marks the keys of words; those of contexts have 48 bits
+_END = np.int64(-0x61C8864680B583EB)  # the hash of the end token
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,27 +37,23 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(offsets) - 1
     size = len(data) + n * (DEPTH + 1)
     rows = np.repeat(np.arange(n), np.diff(offsets))
-    padded = np.zeros(size, np.uint8)
-    padded[np.arange(len(data)) + rows * (DEPTH + 1) + DEPTH] = data
-    ends = offsets[1:] + np.arange(n) * (DEPTH + 1) + DEPTH
-    at = np.ones(size, bool)
+    wide = np.zeros(size, np.int64)
+    wide[np.arange(len(data)) + rows * (DEPTH + 1) + DEPTH] = data
+    asked = np.ones(size, bool)
     for k in range(DEPTH):
-        at[offsets[:-1] + np.arange(n) * (DEPTH + 1) + k] = False
-    at = np.flatnonzero(at)
-    assert len(at) == len(data) + n and ends[-1] == size - 1
-    wide = padded.astype(np.int64)
-    key = wide[at].copy()
+        asked[offsets[:-1] + np.arange(n) * (DEPTH + 1) + k] = False
+    key = wide.copy()
     for k in range(1, DEPTH + 1):
-        key |= wide[at - k] << (8 * (DEPTH + 1 - k))
-    return key, np.repeat(np.arange(n), np.diff(offsets) + 1)
+        key[k:] |= wide[:-k] << (8 * (DEPTH + 1 - k))
+    return key[asked], np.repeat(np.arange(n), np.diff(offsets) + 1)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and of an end per text, and their text's row."""
     starts, ends, rows = word_spans(data, offsets)
     n = len(offsets) - 1
-    keys = np.concatenate((word_hashes(data, starts, ends).view(np.int64), np.full(n, _END)))
-    return keys, np.concatenate((rows, np.arange(n)))
+    keys = np.concatenate((word_hashes(data, starts, ends), np.full(n, _END).view(np.uint64)))
+    return (keys >> np.uint64(2)).view(np.int64) | _WORD, np.concatenate((rows, np.arange(n)))
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -69,93 +70,185 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return lgamma(a + 0.5) + lgamma(b + 0.5) - math.log(math.pi) - lgamma(a + b + 1)
 
 
-def _levels(keys: np.ndarray, n: np.ndarray):
-    """For each bit: (bit values, [per depth 1..DEPTH: node of each key, node ids, zeros, ones, log KT, log weighted])."""
+def _levels(keys: np.ndarray, n: np.ndarray, top: int = 1):
+    """For each bit: (bit values, [per depth top..DEPTH: node of each key, node ids, zeros, ones, log KT, log weighted])."""
     byte = keys & 255
     for level in range(8):
         prefix = (1 << level) | (byte >> (8 - level))
         bit = (byte >> (7 - level)) & 1
         depths = []
-        for d in range(1, DEPTH + 1):
+        for d in range(top, DEPTH + 1):
             ids, at = np.unique(((keys >> (8 * (DEPTH + 1 - d))) << 8) | prefix, return_inverse=True)
             a, b = np.bincount(at, n * (bit == 0), len(ids)), np.bincount(at, n * (bit == 1), len(ids))
             depths.append([at, ids, a, b, log_kt(a, b), None])
-        for d in range(DEPTH - 1, -1, -1):
-            at, ids, _, _, kt, _ = depths[d]
-            if d == DEPTH - 1:
-                depths[d][5] = kt
-                continue
-            below, child_ids, *_, child_w = depths[d + 1]
-            parent = np.zeros(len(child_ids), np.int64)
-            parent[below] = at
-            depths[d][5] = np.logaddexp(kt, np.bincount(parent, child_w, len(ids))) - math.log(2)
+        depths[-1][5] = depths[-1][4]
+        for above, below in zip(depths[-2::-1], depths[:0:-1]):
+            parent = np.zeros(len(below[1]), np.int64)
+            parent[below[0]] = above[0]
+            above[5] = np.logaddexp(above[4], np.bincount(parent, below[5], len(above[1]))) - math.log(2)
         yield bit, depths
 
 
-def top_nodes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bit prefix, zeros, ones, log weighted probability) of the depth-1 nodes of one last byte."""
-    parts = [(d[0][1] & 255, d[0][2], d[0][3], d[0][5]) for _, d in _levels(keys, n)]
-    return tuple(np.concatenate(p) for p in zip(*parts))
+def two_byte_nodes(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node above, zeros, ones, log weighted probability), summed over the two-byte nodes below each one-byte node.
+
+    keys: whole subtrees of two last bytes. A node above is its byte times 256 plus the bit prefix.
+    """
+    parts = []
+    for _, d in _levels(keys, n, 2):
+        _, ids, a, b, _, w = d[0]
+        parts.append(((ids >> 16 << 8) | (ids & 255), a, b, w))
+    ids, a, b, w = (np.concatenate(p) for p in zip(*parts))
+    node, at = np.unique(ids, return_inverse=True)
+    return node, *(np.bincount(at, x, len(node)) for x in (a, b, w))
+
+
+def upper_nodes(below: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(zeros, ones, weight of the KT estimate) of the one-byte nodes, by byte * 256 + bit prefix, and of the root by bit
+    prefix, from below(node, a, b, w), the sums of two_byte_nodes over all keys."""
+    def weighed(size: int, at: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+        a, b, w = (np.bincount(at, x, size).astype(float) for x in (a, b, w))  # of nothing it is of integers
+        kt = log_kt(a, b)
+        return np.stack([a, b, np.exp(kt - np.logaddexp(kt, w))], 1), np.logaddexp(kt, w) - math.log(2)
+
+    nodes, a, b, w = (below[c].to_numpy() for c in ("node", "a", "b", "w"))
+    one, weights = weighed(1 << 16, nodes, a, b, w)
+    every = np.arange(1 << 16)
+    root, _ = weighed(256, every & 255, one[:, 0], one[:, 1], weights)
+    return one, root
 
 
-def predictions(keys: np.ndarray, n: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Natural log probability of each key's byte after its context. ``root`` has per bit prefix: zeros, ones, KT weight."""
+def predictions(keys: np.ndarray, n: np.ndarray, one: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Natural log probability of each key's byte after its context; keys: whole subtrees of two last bytes."""
     out = np.zeros(len(keys))
     byte = keys & 255
-    for level, (bit, depths) in enumerate(_levels(keys, n)):
+    last = keys >> (8 * DEPTH) << 8
+    for level, (bit, depths) in enumerate(_levels(keys, n, 2)):
         p = None
-        for d in range(DEPTH - 1, -1, -1):
-            at, _, a, b, kt, w = depths[d]
+        for at, _, a, b, kt, w in reversed(depths):
             est = (np.where(bit == 1, b[at], a[at]) + 0.5) / (a[at] + b[at] + 1)
             if p is None:
                 p = est
             else:
                 share = np.exp(kt - math.log(2) - w)[at]
                 p = share * est + (1 - share) * p
-        a, b, share = root[(1 << level) | (byte >> (8 - level))].T
-        p = share * (np.where(bit == 1, b, a) + 0.5) / (a + b + 1) + (1 - share) * p
+        prefix = (1 << level) | (byte >> (8 - level))
+        for a, b, share in (one[last | prefix].T, root[prefix].T):
+            p = share * (np.where(bit == 1, b, a) + 0.5) / (a + b + 1) + (1 - share) * p
         out += np.log(p)
     return out
 
 
-def root_nodes(top: pd.DataFrame) -> np.ndarray:
-    """(zeros, ones, weight of the KT estimate) per bit prefix, from all depth-1 nodes."""
-    out = np.zeros((256, 3))
-    out[:, 2] = 0.5
-    if len(top):
-        g = top.groupby("prefix")[["a", "b", "w"]].sum()
-        a, b, w = (g[c].to_numpy() for c in ("a", "b", "w"))
-        kt = log_kt(a, b)
-        out[g.index.to_numpy()] = np.stack([a, b, np.exp(kt - np.logaddexp(kt, w))], 1)
-    return out
+# -- packed arrays
+
+
+def pack(x: np.ndarray) -> bytes:
+    """64-bit integers as compressed byte planes."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    data = np.frombuffer(pa.decompress(x[8:], 8 * n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(data.reshape(8, n).T).view(np.int64).reshape(n)
+
+
+def pack_keys(x: np.ndarray) -> bytes:
+    """Rising keys, by their differences."""
+    return pack(np.diff(x, prepend=0))
+
+
+def unpack_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(x))
+
+
+def merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, rising, and the sums of their counts."""
+    k, c = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *n])
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
+
 
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    """A bucket for each key; contexts of the same two last bytes share it."""
+    family = np.where(keys & _WORD != 0, keys, keys >> 32).astype(np.uint64)
+    return (mixed(family) >> np.uint64(32)).astype(np.int64) % BUCKETS
 
-def _counted(batches, texts: int, blocks_at: int | None, counts: bool):
-    """Unique keys of both kinds (per block where one is given), merged whenever many have been gathered."""
-    held: dict = {}
-    size = 0
 
-    def out():
-        for (block, kind), parts in held.items():
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)],
-                                             names=["block", "kind", "key", "n"])
+class Book:
+    """Values by key, for keys that are all in it: a table of places by leading bits of scattered keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        k = self._scattered(keys)
+        order = np.argsort(k)
+        self.keys, self.values = k[order], values[order]
+        self.shift = np.uint64(64 - max(1, len(k).bit_length() + 1))
+        starts = np.searchsorted(self.keys >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64))
+        self.starts = starts.astype(np.int32)
+
+    @staticmethod
+    def _scattered(keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        k = self._scattered(np.ascontiguousarray(keys))
+        at = self.starts[k >> self.shift]
+        wrong = np.flatnonzero(self.keys[at] != k)
+        while len(wrong):
+            at[wrong] += 1
+            wrong = wrong[self.keys[at[wrong]] != k[wrong]]
+        return self.values[at]
+
+
+# -- the corpus
+
+
+def _blocked(batches):
+    """The texts, each with its block; and for each block and bucket its different keys, with their counts in training texts."""
+    place = TaskContext.get().partitionId()
+    block, size, held = place << 20, 0, []
+
+    def keys_out():
+        keys, n = merged([(u >> np.uint64(1)).view(np.int64) for u, _ in held], [c * (u & np.uint64(1)).view(np.int64) for u, c in held])
+        bucket = bucket_of(keys)
+        order = np.argsort(bucket, kind="stable")
+        keys, n = keys[order], n[order]
+        cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        for i in range(0, len(some), 64):
+            part = some[i : i + 64]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), block)), pa.nulls(len(part), kind), pa.nulls(len(part), pa.bool_()), pa.nulls(len(part), pa.string()),
+                 pa.array(part.astype(np.int32)), pa.array([pack_keys(keys[cuts[j] : cuts[j + 1]]) for j in part], pa.binary()),
+                 pa.array([pack(n[cuts[j] : cuts[j + 1]]) for j in part], pa.binary())], ["block", "k", "t", "x", "bucket", "keys", "n"])
 
     for batch in batches:
-        ids = batch.column(blocks_at).to_numpy(zero_copy_only=False) if blocks_at is not None else np.zeros(len(batch), np.int64)
-        for first, _, data, offsets in blocks(batch.column(texts)):
-            data = LOWER[data]
-            for kind, (keys, rows) in enumerate((grams(data, offsets), tokens(data, offsets))):
-                owner = ids[first + rows]
-                for block in np.unique(owner):
-                    k, c = np.unique(keys[owner == block], return_counts=True)
-                    held.setdefault((block, kind), []).append((k, c))
-                    size += len(k)
-        if size > 1_500_000:
-            yield from out()
-            held, size = {}, 0
-    yield from out()
+        kind = batch.column(0).type
+        train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+        for first, end, data, offsets in blocks(batch.column(2)):
+            if size and size + len(data) > BLOCK:
+                yield from keys_out()
+                block, size, held = block + 1, 0, []
+            size += len(data)
+            n = end - first
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), *(batch.column(i).slice(first, n) for i in range(3)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                 pa.nulls(n, pa.binary())], ["block", "k", "t", "x", "bucket", "keys", "n"])
+            low = LOWER[data]
+            for keys, rows in (grams(low, offsets), tokens(low, offsets)):
+                u, c = np.unique(keys.view(np.uint64) << np.uint64(1) | train[first + rows], return_counts=True)
+                held.append((u, c))
+            if sum(len(u) for u, _ in held) > 3_000_000:
+                u, at = np.unique(np.concatenate([u for u, _ in held]), return_inverse=True)
+                held = [(u, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64))]
+    if held:
+        yield from keys_out()
+
+
+def _together(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return merged([unpack_keys(x) for x in table.column("keys").to_pylist()], [unpack(x) for x in table.column("n").to_pylist()])
 
 
 def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,72 +256,78 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
 
     docs: the boolean column ``train`` marks the rows that the model learns from. A null text counts as empty: its only
     token is the end. Repeated rows and null keys are scored one by one. Without training rows every bit has probability
-    one half. n_bytes and bits_per_byte count the end mark.
+    one half. n_bytes and bits_per_byte count the end mark. Words are known by 62 bits of their hash.
     """
+    kind = docs.schema[key].dataType.simpleString()
     lean = docs.select(F.col(key).alias("k"), F.coalesce(F.col(train), F.lit(False)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    sizes = lean.select(F.spark_partition_id().alias("p"), F.octet_length("x").cast("long").alias("b")).groupBy("p").agg(F.sum("b").alias("b"))
-    per = max(1, -(-(sizes.agg(F.max("b")).first()[0] or 0) // BLOCK))
-    block = F.spark_partition_id().cast("long") * per + F.pmod(F.xxhash64("k", "x"), F.lit(per))
-    table = saved(lean.withColumn("block", block))
-    schema = "block long, kind int, key long, n long"
-    asked = saved(table.select("x", "block").mapInArrow(lambda it: _counted(it, 0, 1, False), schema).select("block", "kind", "key").distinct())
-    counts = saved(table.where("t").select("x").mapInArrow(lambda it: _counted(it, 0, None, True), schema)
-                   .groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    stats = counts.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    both = saved(lean.mapInArrow(_blocked, f"block long, k {kind}, t boolean, x string, bucket int, keys binary, n binary"))
+    table = both.where("x IS NOT NULL").select("block", "k", "t", "x")
+    salt = F.floor(F.shiftright("block", 20) / TOGETHER).alias("salt")
+    asked = both.where("bucket IS NOT NULL").select("block", "bucket", salt, "keys", "n")
+
+    def merge(g: pa.Table) -> pa.Table:
+        keys, n = _together(g)
+        return pa.table([g.column("bucket")[:1], pa.array([pack_keys(keys)], pa.binary()), pa.array([pack(n)], pa.binary())], ["bucket", "keys", "n"])
+
+    def count(g: pa.Table) -> pa.Table:
+        keys, n = _together(g)
+        words = keys & _WORD != 0
+        node, a, b, w = two_byte_nodes(keys[~words], n[~words]) if not words.all() else (np.zeros(0, np.int64), *[np.zeros(0)] * 3)
+        one = pa.table([g.column("bucket")[:1], pa.array([pack_keys(keys)], pa.binary()), pa.array([pack(n)], pa.binary()),
+                        pa.array([int(n[words].sum())]), pa.array([int((n[words] > 0).sum())])], ["bucket", "keys", "n", "total", "different"])
+        below = pa.table([pa.array(x) for x in (node, a, b, w)], ["node", "a", "b", "w"])
+        return pa.concat_tables([one, below], promote_options="default").select(["bucket", "keys", "n", "total", "different", "node", "a", "b", "w"])
+
+    parts = asked.groupBy("bucket", "salt").applyInArrow(merge, "bucket int, keys binary, n binary")
+    counts = saved(parts.groupBy("bucket").applyInArrow(
+        count, "bucket int, keys binary, n binary, total long, different long, node long, a double, b double, w double"))
+    stats = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("different"), F.lit(0))).first()
     total, different = int(stats[0]), int(stats[1])
-
-    def values():
-        return asked.select("kind", "key").distinct().join(counts, ["kind", "key"], "left")
-
-    seen = counts.where("kind = 0").select("key", F.col("n").cast("double").alias("n"))
-    first = F.shiftright("key", 8 * DEPTH).alias("c")
-
-    def tops(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("key")
-        return pd.DataFrame(dict(zip(("prefix", "a", "b", "w"), top_nodes(g["key"].to_numpy(), g["n"].to_numpy()))))
-
-    top = seen.groupBy(first).applyInPandas(tops, "prefix long, a double, b double, w double").toPandas()  # 256 * 255 rows at most
-    root = root_nodes(top)
-
-    def valued(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("key")
-        k = g["key"].to_numpy()
-        return pd.DataFrame({"key": k, "v": predictions(k, g["n"].to_numpy(), root) / math.log(10)})
-
-    every = seen.unionByName(values().where("kind = 0 AND n IS NULL").select("key", F.lit(0.0).alias("n")))
-    gram_values = every.groupBy(first).applyInPandas(valued, "key long, v double").select(F.lit(0).alias("kind"), "key", "v")
-    word_values = values().where("kind = 1").select("kind", "key", F.coalesce("n", F.lit(0)).cast("double").alias("v"))
-    entries = saved(gram_values.unionByName(word_values))
-    told = saved(asked.join(entries, ["kind", "key"]).select("block", "kind", "key", "v"))
-    drop(asked, counts, entries)
+    below = counts.where("node IS NOT NULL").groupBy("node").agg(*[F.sum(c).alias(c) for c in "abw"]).toPandas()  # 256 * 255 rows at most
+    one, root = upper_nodes(below)
+
+    def answer(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary())], ["block", "keys", "v"])
+        keys, n = _together(right)
+        words = keys & _WORD != 0
+        v = n.astype(np.float64)
+        if not words.all():
+            v[~words] = predictions(keys[~words], v[~words], one, root) / math.log(10)
+        out = [v[np.searchsorted(keys, unpack_keys(x))].tobytes() for x in left.column("keys").to_pylist()]
+        return pa.table([left.column("block"), left.column("keys"), pa.array(out, pa.binary())], ["block", "keys", "v"])
+
+    salts = asked.select(F.col("salt").alias("place")).distinct()
+    known = counts.where("bucket IS NOT NULL").select("bucket", "keys", "n").crossJoin(F.broadcast(salts))  # BUCKETS rows for each salt
+    told = saved(asked.groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "place")).applyInArrow(answer, "block long, keys binary, v binary"))
+    drop(counts)
 
     def score(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        kinds, keys, v = (entries.column(c).to_numpy() for c in ("kind", "key", "v"))
-        books = []
-        for kind in (0, 1):
-            k, x = keys[kinds == kind], v[kinds == kind]
-            order = np.argsort(k)
-            books.append((k[order], x[order]))
+        keys = [unpack_keys(x) for x in entries.column("keys").to_pylist()]
+        v = [np.frombuffer(x, np.float64) for x in entries.column("v").to_pylist()]
+        del entries
+        book = Book(np.concatenate(keys), np.concatenate(v)) if keys else None
         n_rows = texts.num_rows
         got = {c: np.zeros(n_rows) for c in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
-        column = texts.column("x").combine_chunks()
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        for at, end, data, offsets in blocks(column):
-            data, n = LOWER[data], end - at
-            keys_, rows = grams(data, offsets)
-            got["score"][at:end] = np.bincount(rows, books[0][1][np.searchsorted(books[0][0], keys_)], n)
-            got["n_bytes"][at:end] = np.diff(offsets) + 1
-            keys_, rows = tokens(data, offsets)
-            c = books[1][1][np.searchsorted(books[1][0], keys_)]
-            got["n_tokens"][at:end] = np.bincount(rows, minlength=n)
-            got["n_known"][at:end] = np.bincount(rows, c > 0, n)
-            got["base_score"][at:end] = np.bincount(rows, np.log10((c + 1) / (total + different + 1)), n)
+        first = 0
+        for chunk in texts.column("x").chunks:
+            for at, end, data, offsets in blocks(chunk):
+                at, end = first + at, first + end
+                data, n = LOWER[data], end - at
+                keys, rows = grams(data, offsets)
+                got["score"][at:end] = np.bincount(rows, book[keys], n)
+                got["n_bytes"][at:end] = np.diff(offsets) + 1
+                keys, rows = tokens(data, offsets)
+                c = book[keys]
+                got["n_tokens"][at:end] = np.bincount(rows, minlength=n)
+                got["n_known"][at:end] = np.bincount(rows, c > 0, n)
+                got["base_score"][at:end] = np.bincount(rows, np.log10((c + 1) / (total + different + 1)), n)
+            first += len(chunk)
         return pa.table([texts.column("k"), texts.column("t"), pa.array(got["n_tokens"].astype(np.int64)), pa.array(got["n_known"].astype(np.int64)),
                          pa.array(np.full(n_rows, total, np.int64)), pa.array(got["base_score"]), pa.array(got["score"]),
                          pa.array(got["n_bytes"].astype(np.int64)), pa.array(-got["score"] * math.log2(10) / np.maximum(got["n_bytes"], 1))],
                         names=[key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
-    kind = docs.schema[key].dataType.simpleString()
     out = f"{key} {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, out)
 
@@ -237,5 +336,3 @@ def language_model_table(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row."""
     out = score_texts(docs.select("doc_id", "text", (~held_out(F.col("doc_id"), 7, 2)).alias("train")), "train")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
-
-

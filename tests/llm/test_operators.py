@@ -300,6 +300,44 @@ def test_mixing_odd_row(spark):
 # language model
 
 
+def _tree_log_probability(train, context, byte):
+    """Natural log probability of a byte after a context: the ratio of the weighted probabilities of all training bits with and
+    without the byte's own, by the definition of context-tree weighting."""
+    depth = context_tree.DEPTH
+    events = []
+    for t in train:
+        padded = bytes(depth) + t + b"\0"
+        events += [(padded[i - depth : i], padded[i]) for i in range(depth, len(padded))]
+    out = 0.0
+    for level in range(8):
+        prefix = (1 << level) | (byte >> (8 - level))
+        bits = [(c, x >> (7 - level) & 1) for c, x in events if (1 << level) | (x >> (8 - level)) == prefix]
+
+        def weighted(held, d):
+            a, b = sum(x == 0 for _, x in held), sum(x == 1 for _, x in held)
+            kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+            if d == depth:
+                return kt
+            below = sum(weighted([e for e in held if e[0][depth - d - 1] == c], d + 1) for c in {e[0][depth - d - 1] for e in held})
+            return math.log(0.5) + max(kt, below) + math.log1p(math.exp(-abs(kt - below)))
+
+        out += weighted(bits + [(context, byte >> (7 - level) & 1)], 0) - weighted(bits, 0)
+    return out
+
+
+def test_context_tree_is_the_definition(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab c") for _ in range(rng.randint(0, 40))) for _ in range(12)] + ["zq", "", "abc abc"]
+    rows = [(i, t, i % 3 > 0) for i, t in enumerate(texts)]
+    got = by_id(context_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3), "train"))
+    train = [t.encode() for i, t in enumerate(texts) if i % 3 > 0]
+    for i, t in enumerate(texts):
+        if i % 3 == 0:
+            padded = bytes(context_tree.DEPTH) + t.encode() + b"\0"
+            want = sum(_tree_log_probability(train, padded[k - context_tree.DEPTH : k], padded[k]) for k in range(context_tree.DEPTH, len(padded)))
+            assert math.isclose(got[i].score, want / math.log(10), rel_tol=1e-9)
+
+
 def test_context_tree_is_a_distribution():
     rng = np.random.default_rng(1)
     data = np.frombuffer(bytes(rng.choice(np.frombuffer(b"abc d", np.uint8), 500)), np.uint8)
@@ -309,13 +347,19 @@ def test_context_tree_is_a_distribution():
     every, count = np.concatenate((keys, asked)), np.concatenate((n, np.zeros(len(asked), int))).astype(float)
     order = np.argsort(every)
     every, count = every[order], count[order]
-    tops = [context_tree.top_nodes(every[every >> 8 * context_tree.DEPTH == c], count[every >> 8 * context_tree.DEPTH == c]) for c in np.unique(every >> 8 * context_tree.DEPTH)]
     import pandas as pd
 
-    root = context_tree.root_nodes(pd.concat([pd.DataFrame(dict(zip(("prefix", "a", "b", "w"), t))) for t in tops]))
-    group = every >> 8 * context_tree.DEPTH == context >> 8 * context_tree.DEPTH
-    p = np.exp(context_tree.predictions(every[group], count[group], root))
-    assert math.isclose(p[every[group] & ~255 == context].sum(), 1, rel_tol=1e-9)
+    one, root = context_tree.upper_nodes(pd.DataFrame(dict(zip(("node", "a", "b", "w"), context_tree.two_byte_nodes(every, count)))))
+    p = np.exp(context_tree.predictions(every, count, one, root))
+    assert math.isclose(p[every & ~255 == context].sum(), 1, rel_tol=1e-9)
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate((rng.integers(0, 1 << 48, 500), rng.integers(1 << 62, (1 << 63) - 1, 500), [0, (1 << 63) - 1])))
+    assert (context_tree.unpack_keys(context_tree.pack_keys(keys)) == keys).all() and len(context_tree.unpack(context_tree.pack(keys[:0]))) == 0
+    book = context_tree.Book(keys, np.arange(len(keys)))
+    assert (book[keys[::-1]] == np.arange(len(keys))[::-1]).all()
 
 
 def test_log_kt():
