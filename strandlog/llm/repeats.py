@@ -3,8 +3,8 @@
 Every window of ``size`` bytes belongs to the place of its least hashed gram, so equal windows belong to equal grams at
 equal distance. Runs of windows of one place are segments. Segments whose gram occurs once are unique; equal segments are
 collapsed before anything is compared (a group of copies costs one segment per place); what is left - different segments
-around one gram - goes to shards by the gram, where induced sorting and permuted common prefixes tell the windows
-that start elsewhere too. A gram with very many different segments would make one shard too large: its windows are
+around one gram - goes to shards by the gram. There windows whose hash stands alone are unique; of the others,
+induced sorting and permuted common prefixes tell those that start elsewhere too. A gram with very many different segments would make one shard too large: its windows are
 grouped by their hash instead, in all tasks, and give the same result. Only ranges go back to the texts.
 """
 
@@ -33,10 +33,10 @@ class Repeats:
     about. many: different segments of a gram from which its windows are grouped by hash."""
 
     size: int = 400
-    gram: int = 64
+    gram: int = 128
     chunk: int = 4_000_000
-    shard: int = 400_000
-    many: int = 4000
+    shard: int = 1_500_000
+    many: int = 8000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -88,17 +88,27 @@ def _find(batches, conf: Repeats):
 
 
 def _extract(batches, conf: Repeats):
-    """The bytes of the wanted segments of each text."""
+    """The bytes of the wanted segments of each text, in batches of some megabytes."""
+    names = ["gram", "segment", "c", "big", "x"]
+    held, size = [], 0
+
+    def out():
+        cols = zip(*held)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
+
     for batch in batches:
         for x, wanted in zip(batch.column(0), batch.column(1)):
             data = x.as_buffer()
-            found = wanted.as_py()
-            for i in range(0, len(found), 2000):
-                part = found[i : i + 2000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["gram"] for w in part], pa.int64()), pa.array([w["segment"] for w in part], pa.int64()), pa.array([w["c"] for w in part], pa.int64()),
-                     pa.array([w["big"] for w in part], pa.bool_()), pa.array([bytes(data[w["start"] : w["start"] + w["n"] + conf.size - 1]) for w in part], pa.binary())],
-                    names=["gram", "segment", "c", "big", "x"])
+            for w in wanted:
+                start, n = w["start"].as_py(), w["n"].as_py()
+                held.append((w["gram"].as_py(), w["segment"].as_py(), w["c"].as_py(), w["big"].as_py(), data.slice(start, n + conf.size - 1).to_pybytes()))
+                size += n + conf.size
+                if size > 2_000_000:
+                    yield out()
+                    held, size = [], 0
+    if held:
+        yield out()
 
 
 def ranges(at: np.ndarray) -> list[dict]:
@@ -109,22 +119,60 @@ def ranges(at: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
 
 
+def _hashes(xs: list[bytes], conf: Repeats) -> list[np.ndarray]:
+    """Hashes of all windows of each segment, some segments at a time."""
+    out = []
+    for first, end, data, offsets in blocks(pa.array(xs, pa.binary())):
+        at = np.arange(len(data) - conf.size + 1)
+        h = word_hashes(data, at, at + conf.size)
+        out += [h[a : b - conf.size + 1] for a, b in zip(offsets, offsets[1:])]
+    return out
+
+
 def _shard(g: pd.DataFrame, conf: Repeats) -> pd.DataFrame:
+    """The windows of each segment that start elsewhere too.
+
+    A window whose hash is alone in the shard can't repeat; the runs of the other windows, equal ones once, go into a
+    suffix array, which compares their bytes.
+    """
     g = g.sort_values(["gram", "segment"])
-    found = repeated_starts([bytes(x) for x in g["x"]], conf.size)
-    found = [np.arange(len(x) - conf.size + 1) if c > 1 else f for f, c, x in zip(found, g["c"], g["x"])]
-    return pd.DataFrame({"gram": g["gram"], "segment": g["segment"], "found": [ranges(f) for f in found]})
+    xs, counts = [bytes(x) for x in g["x"]], g["c"].to_numpy()
+    hashes = _hashes(xs, conf)
+    _, at, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    total = np.bincount(at, np.repeat(counts, [len(h) for h in hashes]), len(n))
+    cuts = np.cumsum([0] + [len(h) for h in hashes])
+    runs: dict[bytes, int] = {}
+    weight, owners = [], []
+    for i, x in enumerate(xs):
+        some = np.flatnonzero(total[at[cuts[i] : cuts[i + 1]]] > 1)
+        for r in ranges(some):
+            run = x[r["a"] : r["b"] + conf.size]
+            k = runs.setdefault(run, len(runs))
+            if k == len(weight):
+                weight.append(0)
+            weight[k] += counts[i]
+            owners.append((i, r["a"], k))
+    repeated = repeated_starts(list(runs), conf.size)
+    for run, k in runs.items():
+        if weight[k] > 1:
+            repeated[k] = np.arange(len(run) - conf.size + 1)
+    found = [[] for _ in xs]
+    for i, a, k in owners:
+        found[i].append(repeated[k] + a)
+    return pd.DataFrame({"gram": g["gram"], "segment": g["segment"], "found": [ranges(np.concatenate(f)) if f else [] for f in found]})
 
 
 def _windows(batches, conf: Repeats):
     """Each window of the segments of very common grams: its hash, and how many it counts for."""
     for batch in batches:
-        for gram, segment, c, x in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            data = np.frombuffer(x, np.uint8)
+        gram, segment, c = (batch.column(i).to_numpy() for i in range(3))
+        for first, end, data, offsets in blocks(batch.column(3), 1 << 17):
             at = np.arange(len(data) - conf.size + 1)
+            row = np.searchsorted(offsets, at, "right") - 1
+            inside = at + conf.size <= offsets[row + 1]
+            at, row = at[inside], row[inside]
             h = word_hashes(data, at, at + conf.size).view(np.int64)
-            k = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, gram)), pa.array(np.full(k, segment)), pa.array(at), pa.array(h), pa.array(np.full(k, c))],
+            yield pa.RecordBatch.from_arrays([pa.array(gram[first + row]), pa.array(segment[first + row]), pa.array(at - offsets[row]), pa.array(h), pa.array(c[first + row])],
                                              names=["gram", "segment", "i", "h", "c"])
 
 
