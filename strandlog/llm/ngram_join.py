@@ -64,9 +64,9 @@ class NgramJoin:
     frequent: int = 8
     very_frequent: int = 128
     block: int = 256
-    hubs: int = 8
+    hubs: int = 16
     turns: int = 4
-    crowd: int = 16
+    crowd: int = 64
 
     # -- pure functions of one set -------------------------------------------------------------------------------
 
