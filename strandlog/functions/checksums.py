@@ -43,10 +43,12 @@ def crc64_iso(col: Column) -> Column:
 
 def bloom_positions(col: Column, bits: Column, hashes: int = 7) -> Column:
     """Bit positions of a key in a filter of ``bits`` bits: double hashing on the halves of its CRC-64."""
-    c = crc64_iso(col)
-    h0, h1 = c.bitwiseAND(F.lit(MASK32)), F.shiftrightunsigned(c, 32).bitwiseAND(F.lit(MASK32))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)),
-                       lambda i: F.pmod((h0 + i.cast("long") * h1).bitwiseAND(F.lit(MASK32)), bits))
+    def positions(c: Column) -> Column:
+        h0, h1 = c.bitwiseAND(F.lit(MASK32)), F.shiftrightunsigned(c, 32).bitwiseAND(F.lit(MASK32))
+        return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)),
+                           lambda i: F.pmod((h0 + i.cast("long") * h1).bitwiseAND(F.lit(MASK32)), bits))
+
+    return F.transform(F.array(crc64_iso(col)), positions)[0]  # an array of one, so that the checksum is computed once
 
 
 def le_bytes(col: Column, width: int) -> Column:

@@ -64,8 +64,13 @@ def numbered(df: DataFrame, order_by: str, after: int = 0) -> DataFrame:
     """
     cells = 1024
     place = F.col(order_by)
-    if df.schema[order_by].dataType.simpleString() in ("string", "binary"):  # the first bytes as a number: same order, with ties
-        place = F.conv(F.rpad(F.hex(F.substring(place.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if df.schema[order_by].dataType.simpleString() in ("string", "binary"):
+        # the six bytes after what all values share, as a number: same order, with ties
+        raw = place.cast("binary")
+        ends = df.agg(F.min(raw).alias("lo"), F.max(raw).alias("hi")).first()
+        lo, hi = bytes(ends["lo"] or b""), bytes(ends["hi"] or b"")
+        shared = next((i for i, (x, y) in enumerate(zip(lo, hi, strict=False)) if x != y), min(len(lo), len(hi)))
+        place = F.conv(F.rpad(F.hex(F.substring(raw, shared + 1, 6)), 12, "0"), 16, 10).cast("double")
     bounds = df.select(F.percentile_approx(place, [i / cells for i in range(1, cells)], 100000).alias("b"))
     placed = df.crossJoin(F.broadcast(bounds)).withColumn(
         "_cell", F.size(F.filter(F.coalesce("b", F.array()), lambda x: x < place))).drop("b")

@@ -69,13 +69,21 @@ def bloom_bits(runs: DataFrame) -> DataFrame:
 
 
 def candidate_runs(runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Runs that hold a probed key: those whose filter has all its bits, rechecked against the run's keys."""
-    per_run = bloom_bits(runs)
-    probes = keys.select("key").distinct().join(per_run.select("run", "bits").distinct(), how="cross")
+    """Runs that hold a probed key: those whose filter has all its bits, rechecked against the run's keys.
+
+    A filter's size is its run's number of keys, so a probe's bits are known from the runs' sizes alone; a run's keys set
+    only the bits that are probed, before anything is shuffled.
+    """
+    held = runs.select("run", "key").distinct()
+    sizes = held.groupBy("run").agg((F.count("*") * BITS_PER_KEY).alias("bits"))
+    probes = keys.select("key").distinct().join(sizes, how="cross")
     need = probes.select("run", "key", F.explode(F.array_distinct(bloom_positions(F.col("key"), F.col("bits"), HASHES))).alias("bit"))
-    maybe = (need.join(per_run, ["run", "bit"], "left").groupBy("run", "key")
-             .agg(F.min(F.col("bits").isNotNull()).alias("all_set")).where("all_set").select("run", "key"))
-    return maybe.join(runs.select("run", "key").distinct(), ["run", "key"], "left_semi")
+    bits = (held.withColumnRenamed("key", "own").join(sizes, "run")
+            .select("run", F.explode(bloom_positions(F.col("own"), F.col("bits"), HASHES)).alias("bit")))
+    hit = bits.join(need.select("run", "bit").distinct(), ["run", "bit"], "left_semi").distinct().withColumn("hit", F.lit(True))
+    maybe = (need.join(hit, ["run", "bit"], "left").groupBy("run", "key")
+             .agg(F.min(F.col("hit").isNotNull()).alias("all_set")).where("all_set").select("run", "key"))
+    return maybe.join(held, ["run", "key"], "left_semi")
 
 
 def orphan_logs(log_ids: DataFrame, run_ids: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -28,21 +31,47 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, name: str, text: str) -> bool:
-        """Publishes a new file; False if the name is taken. The content is complete before the name exists."""
-        staged = f"_staged/{self._jvm.java.util.UUID.randomUUID().toString()}"
-        stream = self.fs.create(self._at(staged), True)
+    def write(self, name: str, data: bytes, overwrite: bool = True) -> None:
+        stream = self.fs.create(self._at(name), overwrite)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(data))
         finally:
             stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        """Publishes a new file; False if the name is taken. The content is complete before the name exists.
+
+        A claim on the name holds where the content lies, so that whoever finds the claim of a dead writer publishes for it.
+        """
+        staged = f"_staged/{self._jvm.java.util.UUID.randomUUID().toString()}"
+        self.write(staged, text.encode())
         try:
-            claim = self.fs.create(self._at(name + ".claim"), False)
-        except Exception:  # the claim exists: another writer has this version
-            self.fs.delete(self._at(staged), False)
+            self.write(name + ".claim", staged.encode(), overwrite=False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            self.settle(name)
+            self.delete(staged)
             return False
-        claim.close()
-        return bool(self.fs.rename(self._at(staged), self._at(name)))
+        # another writer may have settled this claim meanwhile
+        return bool(self.fs.rename(self._at(staged), self._at(name))) or self.exists(name)
+
+    def settle(self, name: str, grace: float = 60.0) -> None:
+        """Publishes the content that a claim names if its writer hasn't; a claim that names none goes after ``grace`` seconds."""
+        claim = name + ".claim"
+        if self.exists(name) or not self.exists(claim):
+            return
+        staged = self.read(claim)
+        if staged and self.exists(staged):
+            self.fs.rename(self._at(staged), self._at(name))
+        elif self.age(claim) > grace and not self.exists(name):
+            self.delete(claim)
+
+    def age(self, name: str) -> float:
+        """Seconds since the last change of a file or of the newest file in a folder."""
+        at = self._at(name)
+        times = [s.getModificationTime() for s in self.fs.listStatus(at)] or [self.fs.getFileStatus(at).getModificationTime()]
+        return time.time() - max(times) / 1000
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._at(name), True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,13 @@ class Conflict(RuntimeError):
 @dataclass(frozen=True)
 class Options:
     """compact_at: number of runs from which ``maybe_compact`` merges. partitions: files of a run (None: as Spark's
-    shuffle partitions)."""
+    shuffle partitions). retries: times that a write or compaction is done again on the newest version after another
+    writer was first. notify: called with "flush" or "compact" and the run, after each is published."""
 
     compact_at: int = 8
     partitions: int | None = None
+    retries: int = 0
+    notify: Callable[[str, dict], None] | None = None
 
 
 class Table:
@@ -76,17 +80,30 @@ class Table:
 
     def apply(self, mutations: DataFrame, order_by: str, stream: str | None = None, batch_id: int | None = None) -> Table:
         """Appends (op, key, value) rows in the order of ``order_by`` as one run. A stream's batch is applied once only."""
-        if stream is not None and self.manifest["batches"].get(stream, -1) >= batch_id:
-            return self
-        last = self.manifest["last_seq"]
-        rows = numbered(validated(mutations), order_by, last)
-        run = self._write_run(V.merged(rows))
-        batches = dict(self.manifest["batches"])
-        if stream is not None:
-            batches[stream] = batch_id
-        runs = self.manifest["runs"] + ([run] if run["n"] else [])
-        self._publish(runs, max(last, run["max_seq"] or 0), batches)
-        return self
+        valid = validated(mutations)
+        for attempt in range(self.options.retries + 1):
+            if stream is not None and self.manifest["batches"].get(stream, -1) >= batch_id:
+                return self
+            last = self.manifest["last_seq"]
+            run = self._write_run(V.merged(numbered(valid, order_by, last)))
+            batches = dict(self.manifest["batches"])
+            if stream is not None:
+                batches[stream] = batch_id
+            runs = self.manifest["runs"] + ([run] if run["n"] else [])
+            try:
+                self._publish(runs, max(last, run["max_seq"] or 0), batches)
+            except Conflict:
+                self.files.delete(run["name"])  # numbered after an older version
+                if attempt == self.options.retries:
+                    raise
+                self.refresh()
+            else:
+                self._tell("flush", run)
+                return self
+
+    def _tell(self, what: str, run: dict) -> None:
+        if self.options.notify and run["n"]:
+            self.options.notify(what, run)
 
     def put(self, rows: DataFrame, order_by: str = "key") -> Table:
         return self.apply(puts(rows), order_by)
@@ -120,11 +137,22 @@ class Table:
     # -- maintenance
 
     def compact(self) -> Table:
-        """All runs of this version as one, without tombstones and old versions."""
-        if self.manifest["runs"]:
-            run = self._write_run(self.live().withColumn("op", F.lit(PUT)))
-            self._publish([run] if run["n"] else [], self.manifest["last_seq"], self.manifest["batches"])
-        return self
+        """All runs of this version as one, without tombstones and old versions. Runs that others add meanwhile stay behind it."""
+        old = self.manifest["runs"]
+        if not old:
+            return self
+        run = self._write_run(self.live().withColumn("op", F.lit(PUT)))
+        for attempt in range(self.options.retries + 1):
+            try:
+                self._publish(([run] if run["n"] else []) + self.manifest["runs"][len(old):], self.manifest["last_seq"], self.manifest["batches"])
+            except Conflict:
+                self.refresh()
+                if attempt == self.options.retries or self.manifest["runs"][: len(old)] != old:  # or compacted by another
+                    self.files.delete(run["name"])
+                    raise
+            else:
+                self._tell("compact", run)
+                return self
 
     def maybe_compact(self) -> bool:
         due = len(self.manifest["runs"]) >= self.options.compact_at
@@ -132,14 +160,23 @@ class Table:
             self.compact()
         return due
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Deletes all versions but the last ``keep`` and the runs that only they name. Open older snapshots end here."""
+    def vacuum(self, keep: int = 1, grace: float = 3600.0) -> list[str]:
+        """Deletes all versions but the last ``keep`` and the runs that they don't name. Open older snapshots end here.
+
+        Runs and staged files that no version ever named (of lost races and crashes) go once they are ``grace`` seconds old.
+        """
         found = self.versions()
         old, kept = found[:-keep], found[-keep:]
         used = {r["name"] for v in kept for r in json.loads(self.files.read(f"manifest/{v:09d}.json"))["runs"]}
         named = {r["name"] for v in old for r in json.loads(self.files.read(f"manifest/{v:09d}.json"))["runs"]}
         for v in old:
             self.files.delete(f"manifest/{v:09d}.json")
-        for name in sorted(named - used):
+        gone = named - used
+        for folder in ("runs", "_staged"):
+            for name in self.files.names(folder):
+                name = f"{folder}/{name}"
+                if name not in used | named and self.files.age(name) >= grace:
+                    gone.add(name)
+        for name in sorted(gone):
             self.files.delete(name)
-        return sorted(named - used)
+        return sorted(gone)
