@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.llm.scratch import unused
 from strandlog.llm.words import LOWER, blocks, mixed
 
 
@@ -162,7 +163,8 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang", conf: ByteCn
 
 
 def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score. ``und`` with score 0 for texts that are null or have no letter (or without a network)."""
+    """``docs`` with lang_pred and score. ``und`` with score 0 for texts that are null or have no letter (or without a network).
+    Columns of these two names are replaced; all others pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some thousand floats
 
     @F.pandas_udf("struct<p:string,s:double>")
@@ -177,8 +179,9 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
         return pd.DataFrame({"p": names, "s": scores})
 
     lettered = F.when(F.col(text).rlike("\\p{L}"), F.col(text))
-    got = docs.withColumn("_lang", predicted(lettered))
-    return got.withColumns({"lang_pred": F.col("_lang")["p"], "score": F.col("_lang")["s"]}).drop("_lang")
+    (both,) = unused(docs, "_lang")
+    got = docs.withColumn(both, predicted(lettered))
+    return got.withColumns({"lang_pred": F.col(both)["p"], "score": F.col(both)["s"]}).drop(both)
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:

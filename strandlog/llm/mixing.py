@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.scratch import saved
+from strandlog.llm.scratch import saved, unused
 
 WORD = "[^ \\t\\n\\x0B\\f\\r]++"
 MARGINS = ("m_source", "m_lang", "m_topic")
@@ -72,12 +72,13 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     cells = saved(counted.groupBy(*[x[m].alias(m) for m in MARGINS]).agg(F.sum(x["tokens"]).alias("tokens")))
     raked = saved(_rake(cells, mix).select(*MARGINS, "tokens", "factor"))
     top = raked.agg(F.max("factor").alias("top"), (F.lit(mix.budget) * F.sum("tokens") / F.sum(F.col("tokens") * F.col("factor"))).alias("scale"))  # one row
+    names = dict(zip((*MARGINS, "p", "r"), unused(docs, *("_" + m for m in MARGINS), "_p", "_r")))
     rates = saved(raked.join(F.broadcast(top), F.lit(True), "left").select(
-        *[F.col(m).alias("_" + m) for m in MARGINS], F.round(F.col("factor") / F.col("top"), 6).alias("_p"), F.least(F.lit(1.0), F.round(F.col("factor") * F.col("scale"), 6)).alias("_r")))
-    on = [x[m] == F.col("_" + m) for m in MARGINS]
+        *[F.col(m).alias(names[m]) for m in MARGINS], F.round(F.col("factor") / F.col("top"), 6).alias(names["p"]), F.least(F.lit(1.0), F.round(F.col("factor") * F.col("scale"), 6)).alias(names["r"])))
+    on = [x[m] == F.col(names[m]) for m in MARGINS]
     return counted.join(rates, on).withColumn("mixture", F.struct(
-        x["tokens"], x["m_topic"].alias("topic"), F.col("_p").alias("probability"), (unit(F.col(key)) < F.col("_p")).alias("kept"),
-        F.col("_r").alias("rate"), (unit(F.col(key)) < F.col("_r")).alias("sampled"))
+        x["tokens"], x["m_topic"].alias("topic"), F.col(names["p"]).alias("probability"), (unit(F.col(key)) < F.col(names["p"])).alias("kept"),
+        F.col(names["r"]).alias("rate"), (unit(F.col(key)) < F.col(names["r"])).alias("sampled"))
     ).select(*docs.columns, "mixture")
 
 

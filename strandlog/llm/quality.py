@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlog.llm.scratch import unused
+
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 #: Phrases of page furniture, lower-cased.
 BOILERPLATE = ("accept all cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy",
@@ -172,9 +174,13 @@ def quality_table(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
 
 
 def keep_clean(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The rows that pass, with their failed lines removed; ``n_chars`` follows the text if there is one."""
+    """The rows that pass, with their failed lines removed; ``n_chars`` follows the text if there is one.
+
+    Null and empty texts fail the base rules and go; repeated rows are judged alike; other columns stay as they are.
+    """
     # the row number keeps the filter above the nested expressions: pushed below, it would repeat them over and over
-    out = clean_lines(docs, text, rules).withColumn("_at", F.monotonically_increasing_id()).where(F.col("quality")["kept"] & (F.col("_at") >= 0))
+    (at,) = unused(docs, "_at")
+    out = clean_lines(docs, text, rules).withColumn(at, F.monotonically_increasing_id()).where(F.col("quality")["kept"] & (F.col(at) >= 0))
     fresh = {text: F.col("quality")["clean_text"]}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.length(F.col("quality")["clean_text"]).cast(dict(docs.dtypes)["n_chars"])

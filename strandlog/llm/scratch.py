@@ -45,6 +45,16 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where ``df`` has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for df in tables:

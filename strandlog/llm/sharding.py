@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.llm.scratch import saved
+from strandlog.llm.scratch import saved, unused
 
 WORD = "[^ \\t\\n\\x0B\\f\\r]++"
 
@@ -58,6 +58,7 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Pack
     if "placed" in docs.columns:
         raise ValueError("the table has a column named placed already")
     spark = docs.sparkSession
+    g_, n_, pieces_, shards_, s_, c_, before_, inside_ = unused(docs, "_g", "_n", "_pieces", "_shards", "_s", "_c", "_before", "_inside")
     whole = F.coalesce(F.col(text), F.lit(""))
     sized = docs.withColumn("placed", F.struct(
         (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"),
@@ -84,9 +85,9 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Pack
     row_hash = F.xxhash64(F.lit(17), F.col(key))
     piece_rows = {}
     if split:  # fewer than 3 * shards groups
-        cuts = F.broadcast(spark.createDataFrame(list(split.items()), "_g long, _n long"))
-        counted = sized.join(cuts, p["g"] == F.col("_g")).groupBy("_g", F.pmod(row_hash, F.col("_n")).alias("k")).agg(F.count("*").alias("n"))
-        piece_rows = {(r["_g"], r["k"]): r["n"] for r in counted.collect()}
+        cuts = F.broadcast(spark.createDataFrame(list(split.items()), f"{g_} long, {n_} long"))
+        counted = sized.join(cuts, p["g"] == F.col(g_)).groupBy(F.col(g_).alias("g"), F.pmod(row_hash, F.col(n_)).alias("k")).agg(F.count("*").alias("n"))
+        piece_rows = {(r["g"], r["k"]): r["n"] for r in counted.collect()}
     for r in large:
         v = np.array([r[c] / n for c, n in zip("btr", total)])
         pieces = split.get(r["g"], 1)
@@ -99,23 +100,23 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Pack
     for (g, b, _, _), s in zip(keys, at):
         if g is None:
             small_map[b] = int(s)
-    table = spark.createDataFrame(big_map, "_g long, _k int, _n int, _shard int").groupBy("_g").agg(
-        F.first("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_k", "_shard"))).alias("_pieces"))
-    bundle_shards = spark.createDataFrame([(small_map,)], "_shards array<int>")
-    found = (sized.join(F.broadcast(table), p["g"] == F.col("_g"), "left").join(F.broadcast(bundle_shards), F.lit(True), "left"))
-    shard = F.coalesce(F.get(F.col("_pieces"), F.pmod(row_hash, F.col("_n").cast("long")).cast("int"))["_shard"],
-                       F.get(F.col("_shards"), F.pmod(p["g"], F.lit(plan.bundles)).cast("int")))
+    table = spark.createDataFrame(big_map, "g long, k int, n int, shard int").groupBy(F.col("g").alias(g_)).agg(
+        F.first("n").alias(n_), F.sort_array(F.collect_list(F.struct("k", "shard"))).alias(pieces_))
+    bundle_shards = spark.createDataFrame([(small_map,)], f"{shards_} array<int>")
+    found = (sized.join(F.broadcast(table), p["g"] == F.col(g_), "left").join(F.broadcast(bundle_shards), F.lit(True), "left"))
+    shard = F.coalesce(F.get(F.col(pieces_), F.pmod(row_hash, F.col(n_).cast("long")).cast("int"))["shard"],
+                       F.get(F.col(shards_), F.pmod(p["g"], F.lit(plan.bundles)).cast("int")))
     out = found.withColumn("placed", F.struct(p["size"], p["text_crc32"], shard.alias("shard"), p["g"].alias("g"),
                                               F.pmod(F.xxhash64(row_hash, p["g"]), F.lit(plan.cells)).cast("int").alias("cell"))).select(*docs.columns, "placed")
-    counts = out.groupBy(p["shard"].alias("_s"), p["cell"].alias("_c")).agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_s", "_c", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))  # shards * cells rows
+    counts = out.groupBy(p["shard"].alias("s"), p["cell"].alias("c")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("s").alias(s_), F.col("c").alias(c_), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(before_))  # shards * cells rows
     inside = F.row_number().over(Window.partitionBy(p["shard"], p["cell"]).orderBy(F.col(key), p["g"], p["size"]))
-    numbered = out.withColumn("_inside", inside).join(
-        F.broadcast(offsets), (p["shard"] == F.col("_s")) & (p["cell"] == F.col("_c")))
+    numbered = out.withColumn(inside_, inside).join(
+        F.broadcast(offsets), (p["shard"] == F.col(s_)) & (p["cell"] == F.col(c_)))
     return numbered.withColumn("placed", F.struct(
         p["size"], p["text_crc32"], p["shard"].cast("int").alias("shard"),
-        (F.col("_inside") - 1 + F.col("_before")).cast("long").alias("slot"))).select(*docs.columns, "placed")
+        (F.col(inside_) - 1 + F.col(before_)).cast("long").alias("slot"))).select(*docs.columns, "placed")
 
 
 def shard_table(docs: DataFrame, key: str = "doc_id", text: str = "text", plan: Packing = Packing()) -> DataFrame:

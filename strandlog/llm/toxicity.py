@@ -227,7 +227,7 @@ def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "
 
 def scored(docs: DataFrame, index: Examples | None, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted. Null and empty texts are scored like texts without any known term; without an
-    index all scores are 0.5."""
+    index all scores are 0.5. Columns named score or predicted are replaced; all others pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * examples texts
     limit = index.conf.threshold if index else 1.0
 

@@ -486,3 +486,69 @@ def test_pipeline_near_duplicates(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     want = {i for i, (_, c) in _components({r.doc_id: r.text for r in table.collect()}, 5, 80).items() if i == c}
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, SF).collect()} == want
+
+
+def test_pipeline_near_duplicates_keep_every_text(spark):
+    """A shared id loses no text, rows without an id take part, and rows repeated whole stay once."""
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(3, a, "en", "s", 1), (5, a, "de", "s", 1), (5, b, "en", "s", 2), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, b + " more", "en", "s", 1),
+            (7, "", "en", "s", 0), (8, None, "en", "s", 0)]
+    for extra in ([], ["_k", "_row", "component_id", "n", "id"]):
+        df = spark.createDataFrame(rows, SCHEMA)
+        for name in extra:
+            df = df.withColumn(name, F.lit(1))
+        out = corpus_pipeline.near_duplicates(spark, df, SF)
+        assert out.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(3, a), (5, b), (None, c), (7, ""), (8, None)], key=repr)
+
+
+def test_clashing_columns(spark, docs):
+    """Columns with the names that operators use inside pass through untouched."""
+    names = ["_g", "_n", "_pieces", "_shards", "_s", "_c", "_before", "_inside", "_p", "_r", "_m_source", "_m_lang", "_m_topic", "_lang", "_at", "key", "text_crc32"]
+    df = docs
+    for i, name in enumerate(names):
+        df = df.withColumn(name, F.lit(i))
+    for op in (sharding.sharded, mixing.mixed, quality.keep_clean, lambda d: language.identify(d, None)):
+        out = op(df)
+        assert out.columns[: len(df.columns)] == df.columns
+        got = [tuple(r) for r in out.select(*names).collect()]
+        assert set(got) <= {tuple(range(len(names)))} and len(got) in (docs.count(), quality.keep_clean(docs).count())
+
+
+def _linked_sets(n, percent, rng):
+    """Sets of random tokens of which some are frequent, in pairs near the threshold."""
+    common = rng.integers(1, 1 << 63, 300).astype(np.uint64)
+    out = []
+    for _ in range(n):
+        size = int(rng.integers(1, 120))
+        share = rng.random()
+        base = np.unique(np.concatenate((rng.choice(common, int(size * share)), rng.integers(1, 1 << 63, size - int(size * share)).astype(np.uint64))))
+        drop = base[rng.random(len(base)) < percent / 100 + rng.random() * (1 - percent / 100)]
+        out.append((base, np.unique(np.concatenate((drop, rng.integers(1, 1 << 63, int(rng.integers(0, 3))).astype(np.uint64))))))
+    return out
+
+
+@pytest.mark.parametrize("percent", [85, 80, 60, 30])
+def test_linked_sets_share_a_signature(percent):
+    """At every threshold, with all three classes of tokens, and combinations in use."""
+    from strandlog.llm.ngram_join import NgramJoin
+
+    rng = np.random.default_rng(percent)
+    rule = NgramJoin(percent=percent, cell_bits=12, frequent=0, very_frequent=6)
+    pairs = _linked_sets(600, percent, rng)
+    cells = np.zeros(1 << 12, np.int64)
+    for pair in pairs:
+        for s in pair:
+            np.add.at(cells, (s >> np.uint64(52)).astype(np.int64), 1)
+    order = rule.ordered(cells)
+    assert set(order.classes(order.level)) == {0, 1, 2}
+    linked = combined = 0
+    for a, b in pairs:
+        shared = len(np.intersect1d(a, b))
+        if len(a) and len(b) and rule.linked(shared, len(a), len(b)) and not np.array_equal(a, b):
+            x, y = rule.prefix_signatures(a, order), rule.prefix_signatures(b, order)
+            assert len(np.intersect1d(x, y))
+            linked += 1
+            combined += not np.isin(x, a).all()
+    assert linked > 100 and combined > 20
