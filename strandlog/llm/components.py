@@ -16,8 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     minimum per node and one join, whose hot side adaptive execution splits.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     now = saved(edges)
-    while True:
+    before = sums(now)
+    while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -26,11 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         hung = (down.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                 .union(small.select("u", F.col("m").alias("v"))).distinct())
         after = saved(hung)
-        sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        same = sums(now) == sums(after)
         drop(now)
-        now = after
-        if same:
+        now, last, before = after, before, sums(after)
+        if before == last:
             break
     out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return out.union(out.select(F.col("component").alias("id"), "component").distinct())

@@ -535,7 +535,7 @@ def test_linked_sets_share_a_signature(percent):
     from strandlog.llm.ngram_join import NgramJoin
 
     rng = np.random.default_rng(percent)
-    rule = NgramJoin(percent=percent, cell_bits=12, frequent=0, very_frequent=6)
+    rule = NgramJoin(percent=percent, cell_bits=12, frequent=0, very_frequent=100)
     pairs = _linked_sets(600, percent, rng)
     cells = np.zeros(1 << 12, np.int64)
     for pair in pairs:
