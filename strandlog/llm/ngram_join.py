@@ -65,7 +65,7 @@ class NgramJoin:
     very_frequent: int = 128
     block: int = 256
     hubs: int = 16
-    turns: int = 4
+    turns: int = 1
     crowd: int = 64
 
     # -- pure functions of one set -------------------------------------------------------------------------------
@@ -286,7 +286,7 @@ class NgramJoin:
         for turn in range(1, self.turns + 2):
             named = met.join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
             open_ = named.groupBy("sig", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-            spread = open_.groupBy("sig").agg(self._hub("component", turn), F.count("*").alias("size")).where("size > 1")
+            spread = open_.groupBy("sig").agg(self._hub("component", turn), F.min("component").alias("least"), F.count("*").alias("size")).where("size > 1")
             open_ = saved(open_.join(spread, "sig").withColumn("hub", F.col("hub").bitwiseXOR(self._turned(turn))))
             rows_, crowd = open_.agg(F.count("*"), F.avg(F.col("size") - 1) / 2).first()
             last = turn > self.turns or not rows_ or crowd <= self.crowd
@@ -344,16 +344,20 @@ class NgramJoin:
         return out
 
     def _component_pairs(self, members: DataFrame) -> DataFrame:
-        """Different (a, b) components that meet in a bucket of members(sig, component, lo, hi, size) and may be near in size."""
+        """Different (a, b) components that meet in a bucket of members(sig, component, lo, hi, size, least) and may be near in size.
+
+        Buckets of one least component, mostly those of one group, are in one place block by block, so that a pair that
+        meets in many of them comes out about once.
+        """
         side = self.block
         n = F.ceil(F.col("size") / side).cast("int")
         own = F.pmod(F.xxhash64("component"), n).cast("int")
         dealt = members.withColumns({"n": n, "own": own}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        dealt = dealt.select("sig", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "component", "lo", "hi")
-        cells = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "component")
+        dealt = dealt.select("least", "sig", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "component", "lo", "hi")
+        cells = dealt.repartition("least", "i", "j").sortWithinPartitions("least", "i", "j", "sig", "own", "component")
 
         def meet(batches):
-            place, rows = None, []
+            place, rows, seen = None, [], set()
 
             def pairs():
                 if len(rows) < 2:
@@ -364,16 +368,25 @@ class NgramJoin:
                 if place[1] != place[2]:  # pairs inside one block have a cell of their own
                     ok &= own[a] != own[b]
                 a, b = comp[a[ok]], comp[b[ok]]
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - seen
+                if not new:
+                    return None
+                if len(seen) > 1_000_000:  # pairs may come out again
+                    seen.clear()
+                seen.update(new)
+                a, b = zip(*new, strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
             for batch in batches:
-                cols = [batch.column(c).to_pylist() for c in ("sig", "i", "j", "own", "component", "lo", "hi")]
-                for sig, i, j, *rest in zip(*cols, strict=True):
-                    if (sig, i, j) != place:
+                cols = [batch.column(c).to_pylist() for c in ("least", "i", "j", "sig", "own", "component", "lo", "hi")]
+                for *now, own, component, lo, hi in zip(*cols, strict=True):
+                    if now != place:
                         if (out := pairs()) is not None:
                             yield out
-                        place, rows = (sig, i, j), []
-                    rows.append(rest)
+                        if place is None or now[:3] != place[:3]:
+                            seen.clear()
+                        place, rows = now, []
+                    rows.append((own, component, lo, hi))
             if (out := pairs()) is not None:
                 yield out
 
