@@ -13,7 +13,9 @@ Phases, each written to the shared folder:
    the hub has then met all others and leaves;
 4. components of these links; where several components still meet in a bucket, one of them is the hub of the next
    turn, until the pairs that are left are few, and all of them are compared, in blocks, until a link is found. So a
-   large group of near copies costs about one comparison per member and turn, and no link goes missing.
+   large group of near copies costs about one comparison per member and turn, and no link goes missing. Before sets
+   are fetched, parity sketches (the bitmap filter of Sandes et al., 2020) rule out pairs that differ too much: the bits
+   in which two sketches differ are never more than the tokens in which their sets do.
 """
 
 from __future__ import annotations
@@ -127,6 +129,28 @@ class NgramJoin:
     def linked(self, shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * shared >= self.percent * (a + b - shared)
 
+    def sketch(self, tokens: np.ndarray) -> bytes:
+        """Parities of the tokens by their low bits: a power of two of bits, 256 or twice the tokens at least."""
+        bits = max(256, 1 << (2 * len(tokens) - 1).bit_length())
+        odd = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+    def may_link(self, sketches: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets a and b of each pair may link, by sizes n and sketches; never False for linked ones."""
+        length = np.array([len(x) for x in sketches])
+        least, ok = np.minimum(length[a], length[b]), np.ones(len(a), bool)
+        for size in np.unique(least):
+            folded = np.zeros((len(sketches), size // 8), np.uint64)
+            for i in np.flatnonzero(length >= size):  # halves folded onto each other are the shorter sketch
+                folded[i] = np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, size // 8), axis=0)
+            step = max(1, (1 << 19) // (size // 8))
+            of = np.flatnonzero(least == size)
+            for at in (of[k : k + step] for k in range(0, len(of), step)):
+                differ = np.bitwise_count(folded[a[at]] ^ folded[b[at]]).sum(axis=1, dtype=np.int64)
+                both = n[a[at]] + n[b[at]]
+                ok[at] = 100 * (both - differ) >= self.percent * (both + differ)
+        return ok
+
     # -- the corpus ----------------------------------------------------------------------------------------------
 
     def _sets(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -176,24 +200,25 @@ class NgramJoin:
         return Order(level, *(int(np.searchsorted(steps, x)) + 1 for x in limits))
 
     def digests(self, docs: DataFrame, key: str, text: str, order: Order) -> DataFrame:
-        """(key, n, fp, sigs) of every row: set size, 128-bit fingerprint of the set, and signatures."""
+        """(key, n, fp, sketch, sigs) of every row: set size, 128-bit fingerprint and sketch of the set, and signatures."""
         held = docs.sparkSession.sparkContext.broadcast(order)  # 2 ** cell_bits bytes
 
         def digest(batches):
             for batch in batches:
-                n, fp, sigs = [], [], []
+                n, fp, sketch, sigs = [], [], [], []
                 for _, tokens in self._sets(batch.column(1)):
                     n.append(len(tokens))
                     fp.append(_fingerprint(tokens))
+                    sketch.append(self.sketch(tokens))
                     sigs.append(self.prefix_signatures(tokens, held.value).view(np.int64))
                 at = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
                 flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(pa.array(at), flat)],
-                    ["key", "n", "fp", "sigs"])
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sketch, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(at), flat)], ["key", "n", "fp", "sketch", "sigs"])
 
         kind = dict(docs.dtypes)[key]
-        return docs.select(key, text).mapInArrow(digest, f"key {kind}, n long, fp binary, sigs array<long>")
+        return docs.select(key, text).mapInArrow(digest, f"key {kind}, n long, fp binary, sketch binary, sigs array<long>")
 
     def token_sets(self, docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
         """(id, tokens) of the wanted(id, key, fp) sets: the texts are read again instead of kept.
@@ -267,14 +292,14 @@ class NgramJoin:
         order = self.token_order(docs, text)
         signed = saved(self.digests(docs, key, text, order))
         rows = saved(signed.select("key", "n", "fp"))
-        sets = saved(signed.where("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+        sets = saved(signed.where("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("sigs").alias("sigs"))
                      .withColumn("id", F.monotonically_increasing_id()))
         drop(signed)
         each = sets.select("id", "n", F.explode("sigs").alias("sig"))
         # most signatures stand alone: only those of several sets go on
         shared = each.groupBy("sig").agg(self._hub("id", 0), F.count("*").alias("size")).where("size > 1")
         found = saved(each.join(shared, "sig").withColumn("hub", F.col("hub").bitwiseXOR(self._turned(0))))
-        sets, signed = saved(sets.select("id", "fp", "key", "n")), sets
+        sets, signed = saved(sets.select("id", "fp", "key", "n", "sketch")), sets
         drop(signed)
         stars = found.where("id <> hub").select("hub", F.col("id").alias("other"), "n").distinct()
         stars = saved(stars.join(sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub").where(
@@ -285,13 +310,13 @@ class NgramJoin:
         stage = self._linked_by(docs, key, text, sets, stars, alone)
         for turn in range(1, self.turns + 2):
             named = met.join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_ = named.groupBy("sig", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+            open_ = named.groupBy("sig", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("id").alias("one"), F.count("*").alias("ids"))
             spread = open_.groupBy("sig").agg(self._hub("component", turn), F.min("component").alias("least"), F.count("*").alias("size")).where("size > 1")
             open_ = saved(open_.join(spread, "sig").withColumn("hub", F.col("hub").bitwiseXOR(self._turned(turn))))
             rows_, crowd = open_.agg(F.count("*"), F.avg(F.col("size") - 1) / 2).first()
             last = turn > self.turns or not rows_ or crowd <= self.crowd
             if last:
-                pairs = self._component_pairs(open_)
+                pairs = self._component_pairs(open_.join(sets.select(F.col("id").alias("one"), "sketch"), "one"))
             else:
                 pairs = open_.where("component <> hub").select(F.least("hub", "component").alias("a"), F.greatest("hub", "component").alias("b")).distinct()
                 met, before = saved(named.join(open_.select("sig", "hub").distinct(), "sig").where("component <> hub").select("sig", "id", "n")), met
@@ -344,49 +369,55 @@ class NgramJoin:
         return out
 
     def _component_pairs(self, members: DataFrame) -> DataFrame:
-        """Different (a, b) components that meet in a bucket of members(sig, component, lo, hi, size, least) and may be near in size.
+        """Different (a, b) components that meet in a bucket of members(sig, component, lo, hi, one, ids, sketch, size, least)
+        and may be linked there: by their sizes, and, if each has ``one`` of its ids only in the bucket, by their sketches.
 
         Buckets of one least component, mostly those of one group, are in one place block by block, so that a pair that
-        meets in many of them comes out about once.
+        meets in many of them is looked at about once.
         """
-        side = self.block
+        side, most = self.block, 2048
         n = F.ceil(F.col("size") / side).cast("int")
         own = F.pmod(F.xxhash64("component"), n).cast("int")
-        dealt = members.withColumns({"n": n, "own": own}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        dealt = dealt.select("least", "sig", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "component", "lo", "hi")
+        who = F.when(F.col("ids") == 1, F.col("one")).otherwise(F.bitwise_not("component"))  # below zero for several ids
+        dealt = members.withColumns({"n": n, "own": own, "who": who}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        dealt = dealt.select("least", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "sig", "own", "component", "lo", "hi", "who", "sketch")
         cells = dealt.repartition("least", "i", "j").sortWithinPartitions("least", "i", "j", "sig", "own", "component")
 
         def meet(batches):
-            place, rows, seen = None, [], set()
+            place, rows, number, looked = None, [], {}, None
 
             def pairs():
+                nonlocal number, looked
                 if len(rows) < 2:
                     return None
-                own, comp, lo, hi = (np.array(x) for x in zip(*rows, strict=True))
+                own, comp, lo, hi, who, sketch = zip(*rows, strict=True)
+                own, comp, lo, hi, who = (np.array(x) for x in (own, comp, lo, hi, who))
+                if len(number) + len(rows) > most or looked is None:  # pairs may be looked at again
+                    number, looked = {}, np.zeros((max(most, len(rows)),) * 2, bool)
+                at = np.array([number.setdefault(x, len(number)) for x in who.tolist()])
                 a, b = np.triu_indices(len(rows), 1)
-                ok = (comp[a] != comp[b]) & (self.percent * lo[a] <= 100 * hi[b]) & (self.percent * lo[b] <= 100 * hi[a])
+                ok = (comp[a] != comp[b]) & ~looked[at[a], at[b]] & (self.percent * lo[a] <= 100 * hi[b]) & (self.percent * lo[b] <= 100 * hi[a])
                 if place[1] != place[2]:  # pairs inside one block have a cell of their own
                     ok &= own[a] != own[b]
-                a, b = comp[a[ok]], comp[b[ok]]
-                new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - seen
-                if not new:
-                    return None
-                if len(seen) > 1_000_000:  # pairs may come out again
-                    seen.clear()
-                seen.update(new)
-                a, b = zip(*new, strict=True)
-                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = a[ok], b[ok]
+                looked[at[a], at[b]] = looked[at[b], at[a]] = True
+                single = np.flatnonzero((who[a] >= 0) & (who[b] >= 0))
+                keep = np.ones(len(a), bool)
+                keep[single] = self.may_link(sketch, lo, a[single], b[single])
+                a, b = comp[a[keep]], comp[b[keep]]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
 
             for batch in batches:
-                cols = [batch.column(c).to_pylist() for c in ("least", "i", "j", "sig", "own", "component", "lo", "hi")]
-                for *now, own, component, lo, hi in zip(*cols, strict=True):
+                cols = [batch.column(c).to_pylist() for c in ("least", "i", "j", "sig", "own", "component", "lo", "hi", "who", "sketch")]
+                for least, i, j, sig, *row in zip(*cols, strict=True):
+                    now = least, i, j, sig
                     if now != place:
                         if (out := pairs()) is not None:
                             yield out
                         if place is None or now[:3] != place[:3]:
-                            seen.clear()
+                            number, looked = {}, None
                         place, rows = now, []
-                    rows.append((own, component, lo, hi))
+                    rows.append(row)
             if (out := pairs()) is not None:
                 yield out
 

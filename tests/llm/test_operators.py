@@ -552,3 +552,53 @@ def test_linked_sets_share_a_signature(percent):
             linked += 1
             combined += not np.isin(x, a).all()
     assert linked > 100 and combined > 20
+
+
+@pytest.mark.parametrize("percent", [85, 60, 30])
+def test_sketches_never_rule_out_linked_sets(percent):
+    from strandlog.llm.ngram_join import NgramJoin
+
+    rng, rule = np.random.default_rng(percent), NgramJoin(percent=percent)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+    sets = []
+    for size in (1, 5, 90, 130, 700, 5000):
+        base = draw(size)
+        for cut in rng.integers(0, size // 2 + 1, 12):
+            sets.append(np.unique(np.concatenate((base[cut:], draw(int(rng.integers(0, cut + 1)))))))
+    n = np.array([len(x) for x in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    shared = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    linked = rule.linked(shared, n[a], n[b])
+    maybe = rule.may_link([rule.sketch(x) for x in sets], n, a, b)
+    assert linked.any() and (maybe | ~linked).all()
+    if percent == 85:  # sets of too different sizes are ruled out before
+        apart = ~linked & (85 * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b]))
+        assert apart.sum() > 100 and (maybe & apart).sum() < 0.1 * apart.sum()
+
+
+@pytest.mark.parametrize("plan", [{}, {"turns": 0}, {"block": 3, "hubs": 1, "crowd": 0}])
+def test_ngram_join_of_a_large_group(spark, plan):
+    """Near copies around the threshold, so that components still meet after the hubs' turn."""
+    rng = np.random.default_rng(7)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        words = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 6)):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words)))
+    sets = [{" ".join(t.split()[j : j + 4]) for j in range(117)} for _, t in rows]
+    parent = list(range(150))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(150):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root(i), root(j)))
+                parent[hi] = lo
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), **plan).collect()}
+    assert got == {i: root(i) for i in range(150)}
+    assert len(set(got.values())) > 1
