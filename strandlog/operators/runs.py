@@ -103,3 +103,16 @@ def recovered_live(log: DataFrame, bad) -> DataFrame:
 
 __all__ = ["bloom_bits", "candidate_runs", "compact", "compact_prefix", "flush", "memtable_size", "merge_runs", "merged",
            "orphan_logs", "recover", "recovered_live", "run_meta", "sst_index"]
+
+
+def log_gaps(log: DataFrame, cell: int = 1 << 20) -> DataFrame:
+    """(last, next, missing) of every gap in the sequence numbers: the numbers beside it and how many are missing between.
+
+    ``lag`` runs inside cells of ``cell`` numbers; between cells only their least and largest numbers are compared, one row
+    a cell. Repeated numbers are no gap, NULL numbers are ignored, and an empty log or one number has none.
+    """
+    seqs = log.where("seq IS NOT NULL").select("seq", F.floor(F.col("seq") / F.lit(cell)).alias("cell"))
+    inside = seqs.select(F.lag("seq").over(Window.partitionBy("cell").orderBy("seq")).alias("last"), F.col("seq").alias("next"))
+    ends = seqs.groupBy("cell").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    between = ends.select(F.lag("hi").over(Window.orderBy("cell")).alias("last"), F.col("lo").alias("next"))
+    return inside.union(between).where("next > last + 1").withColumn("missing", F.col("next") - F.col("last") - 1)

@@ -46,6 +46,7 @@ QUERIES = {
     "kv_run_meta": lambda s, d: R.run_meta(_runs(s, d)),
     "kv_sst_index": lambda s, d: R.sst_index(_runs(s, d)),
     "kv_candidate_runs": lambda s, d: R.candidate_runs(R.flush(_runs(s, d)), _keys(s, BLOOM_PROBES)),
+    "kv_log_gaps": lambda s, d: R.log_gaps(load_log(s, d).where(F.col("op") == 0)),
     "kv_orphan_wal": lambda s, d: R.orphan_logs(_logs(s, d), _logs(s, d).where("run % 2 = 0")),
     "kv_wal_recover": lambda s, d: R.recovered_live(load_log(s, d), _bad()),
     "kv_filenames": lambda s, d: _logs(s, d).withColumns({"wal": C.run_name(F.col("run"), "wal")}).withColumns(
@@ -90,6 +91,8 @@ ORACLE = {
                     "SELECT run, key, CAST(coalesce(sum(rec_size) OVER (PARTITION BY run ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING "
                     "AND 1 PRECEDING), 0) AS BIGINT) AS rec_offset, rec_size FROM sized",
     "kv_candidate_runs": f"WITH {_LOG}, p(key) AS (VALUES {_in(BLOOM_PROBES)}) SELECT DISTINCT run, key FROM log JOIN p USING (key)",
+    "kv_log_gaps": f"WITH {_LOG}, g AS (SELECT lag(seq) OVER (ORDER BY seq) AS last, seq AS next FROM log WHERE op = 0) "
+                   "SELECT last, next, next - last - 1 AS missing FROM g WHERE next > last + 1",
     "kv_orphan_wal": f"WITH {_LOG} SELECT DISTINCT run FROM log WHERE run % 2 <> 0",
     "kv_wal_recover": f"WITH {_LOG}, good AS (SELECT * FROM log WHERE seq < coalesce((SELECT min(seq) FROM log WHERE seq >= 400 AND "
                       "value LIKE '%\"k\": 0}'), 9223372036854775807)), latest AS (SELECT * FROM good QUALIFY row_number() OVER "

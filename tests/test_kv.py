@@ -112,3 +112,12 @@ def test_bloom_has_no_false_negatives(spark):
     m = log(spark, *[(f"key_{i}", "v") for i in range(200)]).withColumn("run", F.lit(0).cast("long"))
     probes = spark.createDataFrame([(f"key_{i}",) for i in range(200)] + [("other",)], "key string")
     assert R.candidate_runs(m, probes).count() == 200
+
+
+@pytest.mark.parametrize("cell", [3, 10, 1 << 20])
+def test_log_gaps(spark, cell):
+    seqs = [1, 2, 2, 5, 6, 20, None, 21, 40]
+    log = spark.createDataFrame([(s,) for s in seqs], "seq long")
+    got = sorted(tuple(r) for r in R.log_gaps(log, cell).select("last", "next", "missing").collect())
+    assert got == [(2, 5, 2), (6, 20, 13), (21, 40, 18)]
+    assert R.log_gaps(log.limit(0), cell).count() == 0
