@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlog.llm.language import held_out
-from strandlog.llm.scratch import saved
+from strandlog.llm.scratch import drop, saved, unused
 
-SPLIT = "[^\\p{L}\\p{N}]+"
 STEM = 5
+BATCH = 256  # texts whose common terms are looked up at once
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -32,7 +33,7 @@ _WORD = re.compile(r"[^\W_]+")
 class Nearest:
     """labelled: labelled rows of a class that anything is learned from, about. terms: separating terms at most; the vectors
     over all terms know no limit. examples: distinct labelled texts of a class at most. k: votes. block: postings of an
-    index block. threshold: the score that predicts 1. min_llr, min_share: a separating term's log-likelihood ratio and
+    index block. whole: lists that hold one of so many examples or more are kept as a weight for each example. threshold: the score that predicts 1. min_llr, min_share: a separating term's log-likelihood ratio and
     share of toxic texts at least."""
 
     labelled: int = 20_000
@@ -40,21 +41,19 @@ class Nearest:
     examples: int = 3000
     k: int = 15
     block: int = 64
+    whole: int = 16
     threshold: float = 0.7
     min_llr: float = 12.0
     min_share: float = 0.8
 
 
-def tokens(text: Column) -> Column:
-    """Terms of a text: its lower-case words, and the stems of longer words with "~" after them."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
-    return F.concat(words, F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("~"))))
-
-
-def _terms(text: str) -> list[str]:
-    """All terms of a text, with repeats."""
-    words = _WORD.findall(text.lower())
-    return words + [w[:STEM] + "~" for w in words if len(w) > STEM]
+def _counts(text: str) -> Counter:
+    """The terms of a text and how often each stands in it: its lower-case words, and with "~" the stems of longer ones."""
+    out = Counter(_WORD.findall(text.lower()))
+    for w, n in list(out.items()):
+        if len(w) > STEM:
+            out[w[:STEM] + "~"] += n
+    return out
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> np.ndarray:
@@ -67,16 +66,33 @@ def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text")
         for batch in batches:
             for t in batch["x"]:
                 if isinstance(t, str):
-                    n[list(set(map(place.get, _terms(t))) - {None})] += 1
+                    words = set(_WORD.findall(t.lower()))
+                    words.update([w[:STEM] + "~" for w in words if len(w) > STEM])
+                    n[[i for i in map(place.get, words) if i is not None]] += 1
         at = np.flatnonzero(n)
         yield pd.DataFrame({"t": at, "n": n[at]})
 
     out = np.zeros(len(terms), np.int64)
     got = docs.select(F.col(text).alias("x")).mapInPandas(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
     out[got["t"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    shared.destroy()
     return out
 
 
+def _class_counts(rows: DataFrame) -> DataFrame:
+    """(t, k, kt): in how many of the rows(x, y) of label 0 and of label 1 each term stands."""
+
+    def count(batches):
+        for batch in batches:
+            seen: tuple[Counter, Counter] = Counter(), Counter()
+            for x, y in zip(batch["x"], batch["y"]):
+                seen[int(y)].update(set(_counts(x)))
+            every = list(seen[0].keys() | seen[1].keys())
+            yield pd.DataFrame({"t": every, "k": [seen[0][t] for t in every], "kt": [seen[1][t] for t in every]})
+
+    return rows.select("x", "y").mapInPandas(count, "t string, k long, kt long").groupBy("t").agg(F.sum("k").alias("k"), F.sum("kt").alias("kt"))
+
+
 def _llr(k: Column, n: Column, kt: Column, nt: Column) -> Column:
     """Signed log-likelihood ratio of a term in kt of nt toxic and k of n other rows."""
     safe = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
@@ -86,27 +102,58 @@ def _llr(k: Column, n: Column, kt: Column, nt: Column) -> Column:
 
 
 class Index:
-    """Normalised examples by term: postings in falling weight, in blocks; the first weight of a block is its maximum."""
+    """Normalised examples, twice: by term, as postings in falling weight, in blocks of which the first weight is the maximum;
+    and by example, to finish the few that may be among the nearest. Terms that many examples hold have one weight for each
+    example instead of postings."""
 
-    def __init__(self, conf: Nearest, idf: dict[str, float], terms: Iterable[list[str]], labels: np.ndarray):
+    def __init__(self, conf: Nearest, idf: dict[str, float], texts: Iterable[list[str] | dict[str, int]], labels: np.ndarray):
         self.conf, self.labels = conf, labels.astype(float)
-        self.terms, self.idf = {t: i for i, t in enumerate(idf)}, np.array(list(idf.values()), float)
-        self.rows = [self.weigh(t) for t in terms]
-        ids, w = (np.concatenate([np.zeros(0, d), *[r[k] for r in self.rows]]) for k, d in enumerate((np.int64, float)))
-        of = np.repeat(np.arange(len(self.rows)), [len(r[0]) for r in self.rows])
-        order = np.lexsort((of, -w, ids))
-        self.starts = np.searchsorted(ids[order], np.arange(len(idf) + 1))
-        self.at, self.w = of[order], w[order]
-
-    def weigh(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the known terms and their normalised weights."""
-        tf = Counter(map(self.terms.get, terms))
-        tf.pop(None, None)
-        ids = np.fromiter(tf, np.int64, len(tf))
-        v = (1 + np.log(np.fromiter(tf.values(), float, len(tf)))) * self.idf[ids]
+        self.terms, self.idf = {t: i for i, t in enumerate(idf)}, np.fromiter(idf.values(), float, len(idf))
+        rows = [self.weigh(t) for t in texts]
+        self.row_ids, self.row_w = (np.concatenate([np.zeros(0, d), *[r[k] for r in rows]]) for k, d in enumerate((np.int32, float)))
+        sizes = np.array([len(r[0]) for r in rows], np.int64)
+        del rows
+        self.ends = np.concatenate(([0], np.cumsum(sizes)))
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.lexsort((of, -self.row_w, self.row_ids))
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(self.row_ids, minlength=len(idf)))))
+        self.at, self.w = of[order], self.row_w[order]
+        common = np.flatnonzero(np.diff(self.starts) * conf.whole >= max(len(sizes), 1))
+        self.place = np.full(len(idf), -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self._fill()
+
+    def _fill(self) -> None:
+        common = np.flatnonzero(self.place >= 0)
+        self.whole = np.zeros((len(common), len(self.labels)))
+        for i, t in enumerate(common.tolist()):
+            cut = slice(self.starts[t], self.starts[t + 1])
+            self.whole[i, self.at[cut]] = self.w[cut]
+        self._dense = np.zeros(len(self.idf))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("whole", "_dense")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fill()
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of example i and their weights."""
+        cut = slice(self.ends[i], self.ends[i + 1])
+        return self.row_ids[cut], self.row_w[cut]
+
+    def weigh(self, terms: list[str] | dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the known terms and their normalised weights, of terms with repeats or of their counts."""
+        counts = terms if isinstance(terms, dict) else Counter(terms)
+        get = self.terms.get
+        ids = np.array(list(map(get, counts, repeat(-1))), np.int32)
+        n = np.fromiter(counts.values(), float, len(counts))[ids >= 0]
+        ids = ids[ids >= 0]
+        v = (1 + np.log(n)) * self.idf[ids]
         return ids, v / max(float(v @ v) ** 0.5, 1e-300)
 
-    def vector(self, terms: list[str]) -> dict[str, float]:
+    def vector(self, terms: list[str] | dict[str, int]) -> dict[str, float]:
         return self._named(*self.weigh(terms))
 
     def _named(self, ids: np.ndarray, w: np.ndarray) -> dict[str, float]:
@@ -115,74 +162,112 @@ class Index:
 
     @property
     def vectors(self) -> list[dict[str, float]]:
-        return [self._named(*r) for r in self.rows]
-
-    def _postings(self, first: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and products of the n postings from ``first`` of each term."""
-        cuts = [slice(a, b) for a, b in zip(first.tolist(), (first + n).tolist())]
-        return np.concatenate([self.at[c] for c in cuts]), np.concatenate([self.w[c] for c in cuts]) * np.repeat(q, n)
+        return [self._named(*self.row(i)) for i in range(len(self.labels))]
 
     def nearest(self, v: dict[str, float], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above zero (ties: the lower example) and their cosines, exactly."""
         known = [(self.terms[t], q) for t, q in v.items() if t in self.terms]
         return self.closest(np.array([i for i, _ in known], np.int64), np.array([q for _, q in known], float), without)
 
-    def closest(self, ids: np.ndarray, q: np.ndarray, without: int = -1, group: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """As nearest, of numbered terms. Terms are taken in groups, the strongest first; the k-th best sum so far is the floor."""
+    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms of some queries add to the cosine with each example."""
+        some = np.zeros((len(queries), len(self.whole)))
+        for row, (ids, q) in zip(some, queries):
+            at = self.place[ids]
+            row[at[at >= 0]] = q[at >= 0]
+        return some @ self.whole
+
+    def closest(self, ids: np.ndarray, q: np.ndarray, without: int = -1, sims: np.ndarray | None = None, group: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """As nearest, of numbered terms; ``sims`` is what their common terms add, if that is known.
+
+        Common terms come first, then the others in growing groups, the strongest first; the k-th best sum so far is the floor.
+        What an example lacks is at most the length of the terms to come, as examples are no longer than 1, plus the first
+        weight of each skipped block. Blocks are skipped where all this can't lift more than the 2k best to the floor. Once
+        so few can reach it that their own rows are shorter than the postings to come, only those are finished.
+        """
         n, k, step = len(self.labels), self.conf.k, self.conf.block
-        held = self.starts[ids + 1] > self.starts[ids]
-        ids, q = ids[held], q[held]
-        most = q * self.w[self.starts[ids]]
-        order = np.argsort(-most, kind="stable")
-        ids, q, most = ids[order], q[order], most[order]
-        first, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
-        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)[1:]  # bound of what later terms can add
-        sims, floor = np.zeros(n), 0.0
-        for a in range(0, len(ids), group):
-            g = slice(a, a + group)
-            head = size[g].copy()
-            for j in np.flatnonzero(rest[g] < floor):  # leave out blocks whose new examples can't reach the floor
+        every = ids, q
+        size = self.starts[ids + 1] - self.starts[ids]
+        other = (size > 0) & (self.place[ids] < 0)
+        sims = self.common([every])[0] if sims is None else sims
+        if without >= 0:
+            sims[without] = 0
+        ids, q, size = ids[other], q[other], size[other]
+        order = np.argsort(-q * self.w[self.starts[ids]], kind="stable")
+        ids, q, size = ids[order], q[order], size[order]
+        first = self.starts[ids]
+        rest = np.sqrt(np.append(np.cumsum((q * q)[::-1])[::-1], 0.0))[1:]
+        later = np.append(np.cumsum(size[::-1])[::-1], 0)
+        floor, gap, missed, a, near = 0.0, 0.0, 0.0, 0, None
+        while a < len(ids):
+            b = min(len(ids), a + group)
+            head = size[a:b].copy()
+            for j in np.flatnonzero((head > step) & (rest[a:b] + missed < gap)).tolist():
                 tops = q[a + j] * self.w[first[a + j] : first[a + j] + head[j] : step]
-                head[j] = min(head[j], step * int((tops + rest[a + j] >= floor - 1e-12).sum()))
-            at, x = self._postings(first[g], head, q[g])
-            sims += np.bincount(at, x, n)
-            if (head < size[g]).any():
-                at, x = self._postings(first[g] + head, size[g] - head, q[g])
-                old = sims[at] > 0
-                sims += np.bincount(at[old], x[old], n)
+                keep = int((tops + rest[a + j] + missed >= gap).sum())
+                if keep < len(tops):
+                    head[j], missed = step * keep, missed + float(tops[keep])
+            at = np.arange(int(head.sum())) + np.repeat(first[a:b] - np.cumsum(head) + head, head)
+            sims += np.bincount(self.at[at], self.w[at] * np.repeat(q[a:b], head), n)
             if without >= 0:
                 sims[without] = 0
-            if n > k:
-                floor = float(np.partition(sims, -k)[-k])
+            if n > k and (b < len(ids) or missed):
+                beyond = max(0, n - 2 * k)
+                best = np.partition(sims, (beyond, n - k))
+                floor = float(best[n - k])
+                gap = floor - float(best[beyond])
+                if floor > 0:
+                    near = np.flatnonzero(sims + (rest[b - 1] + missed) >= floor - 1e-9)
+                    if b == len(ids) or (self.ends[near + 1] - self.ends[near]).sum() < later[b]:
+                        break
+            a, group, near = b, 2 * group, None
+        if near is not None:
+            near = near[near != without]
+            sims = np.zeros(n)
+            sims[near] = self._cosines(near, *every)
         at = np.flatnonzero(sims > 0)
+        if len(at) > 4 * k:  # ties beyond 12 digits go by example, so leave room below the k-th
+            at = at[sims[at] >= np.partition(sims, n - k)[n - k] - 1e-9]
         at = at[np.lexsort((at, -np.round(sims[at], 12)))][:k]
         return at, sims[at]
 
+    def _cosines(self, rows: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The cosines of some examples, from their rows."""
+        self._dense[ids] = q
+        cuts = [slice(a, b) for a, b in zip(self.ends[rows].tolist(), self.ends[rows + 1].tolist())]
+        out = np.array([self._dense[self.row_ids[c]] @ self.row_w[c] for c in cuts])
+        self._dense[ids] = 0
+        return out
+
 
 class Examples:
     """The same examples over all of their terms and over the separating ones; an example's similarity is the larger cosine."""
 
-    def __init__(self, conf: Nearest, every: Index, chosen: Index):
-        self.conf, self.every, self.chosen, self.labels = conf, every, chosen, every.labels
+    def __init__(self, conf: Nearest, every: Index, chosen: Index, keys: list[int | None]):
+        self.conf, self.every, self.chosen, self.labels, self.keys = conf, every, chosen, every.labels, keys
         self.slope, self.shift = 1.0, 0.0
 
-    def nearest(self, every: tuple, chosen: tuple, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples; each is among the k nearest of the index that gives its larger cosine."""
-        best: dict[int, float] = {}
-        for ix, v in ((self.every, every), (self.chosen, chosen)):
-            for i, s in zip(*ix.closest(*v, without)):
-                best[int(i)] = max(best.get(int(i), 0.0), float(s))
-        found = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[: self.conf.k]
-        return np.array([i for i, _ in found], np.int64), np.array([s for _, s in found], float)
-
-    def votes(self, every: tuple, chosen: tuple, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, s = self.nearest(every, chosen, without)
-        s2 = s * s
-        return (float((s2 * self.labels[at]).sum() / (s2.sum() + 0.05)) if len(at) else 0.0), at, s
+    def nearest(self, every: list[tuple], chosen: list[tuple], without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The k most similar examples of each query; each is among the k nearest of the index that gives its larger cosine."""
+        for a in range(0, len(every), BATCH):
+            part = slice(a, a + BATCH)
+            sums = [ix.common(v[part]) for ix, v in ((self.every, every), (self.chosen, chosen))]
+            for e, c, out, se, sc in zip(every[part], chosen[part], without[part], *sums):
+                best: dict[int, float] = {}
+                for i, s in (*zip(*self.every.closest(*e, out, se)), *zip(*self.chosen.closest(*c, out, sc))):
+                    best[int(i)] = max(best.get(int(i), 0.0), float(s))
+                found = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[: self.conf.k]
+                yield np.array([i for i, _ in found], np.int64), np.array([s for _, s in found], float)
+
+    def votes(self, every: list[tuple], chosen: list[tuple], without: list[int]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for at, s in self.nearest(every, chosen, without):
+            s2 = s * s
+            yield (float((s2 * self.labels[at]).sum() / (s2.sum() + 0.05)) if len(at) else 0.0), at, s
 
     def calibrate(self) -> Examples:
         """A logistic curve of votes to labels on the examples, each without itself; ridge keeps it finite."""
-        x = np.array([self.votes(e, c, i)[0] for i, (e, c) in enumerate(zip(self.every.rows, self.chosen.rows))])
+        rows = range(len(self.labels))
+        x = np.array([v[0] for v in self.votes([self.every.row(i) for i in rows], [self.chosen.row(i) for i in rows], list(rows))])
         a, b = 6.0, -3.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-(a * x + b)))
@@ -191,58 +276,79 @@ class Examples:
             m = np.array([[(h * x * x).sum() + 1e-2, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-2]])
             a, b = np.array([a, b]) - np.clip(np.linalg.solve(m, g), -2, 2)
         self.slope, self.shift = max(float(a), 0.0), float(b)
-        self.every.rows = self.chosen.rows = None  # not needed to score
         return self
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
         """The calibrated score, the nearest examples and their similarities."""
-        terms = _terms(text)
-        vote, at, s = self.votes(self.every.weigh(terms), self.chosen.weigh(terms))
-        return float(1 / (1 + np.exp(-(self.slope * vote + self.shift)))), at, s
+        return next(self.scores([text]))
+
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        for a in range(0, len(texts), BATCH):
+            terms = [_counts(t) for t in texts[a : a + BATCH]]
+            every, chosen = [self.every.weigh(t) for t in terms], [self.chosen.weigh(t) for t in terms]
+            for vote, at, s in self.votes(every, chosen, [-1] * len(terms)):
+                yield float(1 / (1 + np.exp(-(self.slope * vote + self.shift)))), at, s
 
 
-def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "label", conf: Nearest = Nearest()) -> Examples | None:
+def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "label", conf: Nearest = Nearest(), key: str | None = None) -> Examples | None:
     """Indexes over the distinct texts of ``labelled``, in each class those of the smallest hashes, or None when a class has no
-    rows. Where copies differ in their label, the highest counts. Rows with a null label teach nothing."""
-    rows = labelled.where(F.col(label).isin(0, 1)).groupBy(F.coalesce(F.col(text), F.lit("")).alias("x")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    rows. Where copies differ in their label, the highest counts. Rows with a null label teach nothing. An example is named
+    by the least ``key`` (a long) of its copies, or by nothing if no column is given."""
+    name = F.min(F.col(key).cast("long") if key else F.lit(None).cast("long")).alias("key")
+    rows = labelled.where(F.col(label).isin(0, 1)).groupBy(F.coalesce(F.col(text), F.lit("")).alias("x")).agg(F.max(F.col(label).cast("int")).alias("y"), name)
     rows = saved(rows)
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
+        drop(rows)
         return None
-    per_term = rows.select("y", F.explode(F.array_distinct(tokens(F.col("x")))).alias("t")).groupBy("t").agg(
-        F.sum(1 - F.col("y")).alias("k"), F.sum("y").alias("kt"))
     llr = _llr(F.col("k").cast("double"), F.lit(float(sizes[0])), F.col("kt").cast("double"), F.lit(float(sizes[1])))
-    chosen = [r["t"] for r in per_term.select("t", "k", "kt", llr.alias("s")).where((F.col("s") >= conf.min_llr) & (F.col("kt") >= conf.min_share * (F.col("k") + F.col("kt")))).orderBy(F.desc("s"), "t").limit(conf.terms).collect()]
-    sample = [(r["x"], y) for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(conf.examples).select("x").collect()]
+    chosen = [r["t"] for r in _class_counts(rows).select("t", "k", "kt", llr.alias("s")).where((F.col("s") >= conf.min_llr) & (F.col("kt") >= conf.min_share * (F.col("k") + F.col("kt")))).orderBy(F.desc("s"), "t").limit(conf.terms).collect()]
+    sample = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(conf.examples).select("x", "y", "key").collect()]
+    drop(rows)
     held = set(chosen)
-    for x, _ in sample:  # one text's terms at a time
-        held.update(_terms(x))
+    for r in sample:  # one text's terms at a time
+        held.update(_counts(r["x"]))
     every = sorted(held)
     del held
     df, total = document_frequencies(docs, every, text), docs.count()
     idf = dict(zip(every, (np.log((1 + total) / (1 + df)) + 1).tolist()))
-    labels = np.array([y for _, y in sample])
-    return Examples(conf, *(Index(conf, known, (_terms(x) for x, _ in sample), labels) for known in (idf, {t: idf[t] for t in chosen}))).calibrate()
+    del every
+    labels, keys = np.array([r["y"] for r in sample]), [r["key"] for r in sample]
+    indexes = [Index(conf, known, (_counts(r["x"]) for r in sample), labels) for known in (idf, {t: idf[t] for t in chosen})]
+    del idf, sample
+    return Examples(conf, *indexes, keys).calibrate()
 
 
 def scored(docs: DataFrame, index: Examples | None, text: str = "text") -> DataFrame:
-    """``docs`` with score and predicted. Null and empty texts are scored like texts without any known term; without an
-    index all scores are 0.5. Columns named score or predicted are replaced; all others pass through."""
+    """``docs`` with score, predicted and the evidence: ``near``, the names of the nearest examples, the nearest first, with
+    their labels in ``near_labels`` and their similarities in ``near_cosines``.
+
+    Null and empty texts are scored like texts without any known term, and have no evidence; without an index all scores
+    are 0.5. Columns of these names are replaced; all others pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # at most 2 * examples texts
     limit = index.conf.threshold if index else 1.0
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("score double, near array<long>, near_labels array<int>, near_cosines array<double>")
+    def score(texts: pd.Series) -> pd.DataFrame:
         ix = shared.value
-        return pd.Series([0.5 if ix is None else ix.score(t if isinstance(t, str) else "")[0] for t in texts], dtype="float64")
+        if ix is None:
+            out = [(0.5, [], [], [])] * len(texts)
+        else:
+            found = ix.scores([t if isinstance(t, str) else "" for t in texts])
+            out = [(x, [ix.keys[i] for i in at.tolist()], ix.labels[at].astype(int).tolist(), s.tolist()) for x, at, s in found]
+        return pd.DataFrame(out, columns=["score", "near", "near_labels", "near_cosines"])
 
-    return docs.withColumn("score", score(text)).withColumn("predicted", (F.col("score") >= F.lit(limit)).cast("int"))
+    (scores,) = unused(docs, "_scored")
+    found = docs.withColumn(scores, score(text))
+    names = ("score", "near", "near_labels", "near_cosines")
+    return found.withColumns({c: F.col(scores)[c] for c in names}).drop(scores).withColumn("predicted", (F.col("score") >= F.lit(limit)).cast("int"))
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame, conf: Nearest = Nearest()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, learned from a bounded sample of labelled rows that are not held out.
+    """(doc_id, held_out, score, predicted, near, near_labels, near_cosines) of every row, learned from a bounded sample of
+    labelled rows that are not held out.
 
-    Where a document has several labels, the highest counts.
+    Where a document has several labels, the highest counts. ``near`` are the doc_ids of the nearest examples.
     """
     out = held_out(F.col("doc_id"), 3, 1)
     marks = labels.where(F.col("toxic").isin(0, 1) & ~out).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
@@ -250,6 +356,7 @@ def toxicity_table(docs: DataFrame, labels: DataFrame, conf: Nearest = Nearest()
     rate = F.when(F.col("label") == 1, conf.labelled / sizes.get(1, 1)).otherwise(conf.labelled / sizes.get(0, 1))
     some = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < rate)
     # about 2 * labelled ids at most, so they go to the texts and no text is shuffled
-    learned = saved(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "label"))
-    index = fit(learned, docs, conf=conf)
-    return scored(docs.select("doc_id", out.alias("held_out"), "text"), index).select("doc_id", "held_out", "score", "predicted")
+    learned = saved(docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label"))
+    index = fit(learned, docs, conf=conf, key="doc_id")
+    drop(learned)
+    return scored(docs.select("doc_id", out.alias("held_out"), "text"), index).drop("text")

@@ -153,6 +153,40 @@ def test_nearest_is_exact():
         assert [i for _, i in want] == at.tolist() and np.allclose([-s for s, _ in want], got)
 
 
+@pytest.mark.parametrize("whole", [0, 4, 1000])
+@pytest.mark.parametrize("copies", [1, 30])
+def test_nearest_of_long_lists_is_exact(whole, copies):
+    """Whole rows, skipped blocks and finished rows find the neighbours that plain cosines find, also with one left out."""
+    rng = random.Random(whole + copies)
+    terms = [f"t{i}" for i in range(300)]
+    idf = {t: 1 + rng.random() * 8 for t in terms}
+    different = [Counter(rng.choices(terms, [1 / (1 + i) for i in range(300)], k=rng.randint(0, 40))) for _ in range(1200 // copies)]
+    sets = different * copies
+    ix = toxicity.Index(toxicity.Nearest(k=7, block=4, whole=whole), idf, sets, np.zeros(len(sets)))
+    every = ix.vectors
+    assert len(ix.whole) == {0: 0, 1000: len({t for s in sets for t in s})}.get(whole, len(ix.whole))
+    for i in range(0, 60):
+        v = ix.vector(sets[i])
+        for without in (-1, i):
+            sims = [sum(x * w.get(t, 0) for t, x in v.items()) for w in every]
+            want = sorted((-round(s, 9), j) for j, s in enumerate(sims) if s > 0 and j != without)[:7]
+            at, got = ix.nearest(v, without)
+            assert len(at) == len(want) and np.allclose([-s for s, _ in want], got, atol=1e-8) and without not in at
+            assert [j for _, j in want] == at.tolist()
+
+
+def test_toxicity_evidence(spark):
+    """The nearest examples are named by the least doc_id of their text, and columns of the caller pass through."""
+    rows = [(i, f"fine words number {i}", 0) for i in range(10, 30)] + [(i, f"foul words number {i}", 1) for i in range(30, 50)] + [(60, "foul words number 31", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    index = toxicity.fit(frame, frame, key="doc_id")
+    got = {r.doc_id: r for r in toxicity.scored(frame.withColumn("_scored", F.lit("x")), index).collect()}
+    assert got[60].near[0] == got[31].near[0] == 31 and got[60].near_labels[0] == 1 and abs(got[60].near_cosines[0] - 1) < 1e-9
+    assert got[60]._scored == "x" and len(got[60].near) == len(got[60].near_labels) == len(got[60].near_cosines) == 15
+    empty = toxicity.scored(spark.createDataFrame([(1, None)], "doc_id long, text string"), index).first()
+    assert empty.near == [] and 0 <= empty.score <= 1
+
+
 def test_toxicity(spark, none):
     rng = random.Random(2)
     rows = [(i, prose(rng, 40) + (" foulness" + rng.choice(["", "er", "ing"]) if i % 5 == 0 else ""), "en", "s", 1) for i in range(400)] + [
