@@ -32,7 +32,7 @@ _WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Nearest:
     """labelled: labelled rows of a class that anything is learned from, about. terms: separating terms at most; the vectors
-    over all terms know no limit. examples: distinct labelled texts of a class at most. k: votes. block: postings of an
+    over all terms know no limit. examples: distinct labelled texts of a class at most. k: votes, all named with the score. block: postings of an
     index block. whole: lists that hold one of so many examples or more are kept as a weight for each example. threshold: the score that predicts 1. min_llr, min_share: a separating term's log-likelihood ratio and
     share of toxic texts at least."""
 
@@ -56,6 +56,12 @@ def _counts(text: str) -> Counter:
     return out
 
 
+def _known(place: dict[str, int], counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array(list(map(place.get, counts, repeat(-1))), np.int32)
+    n = np.fromiter(counts.values(), np.int32, len(counts))[ids >= 0]
+    return ids[ids >= 0], n
+
+
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> np.ndarray:
     """In how many rows each of ``terms`` stands; counted per task, so that only one number a term and task is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
@@ -106,7 +112,7 @@ class Index:
     and by example, to finish the few that may be among the nearest. Terms that many examples hold have one weight for each
     example instead of postings."""
 
-    def __init__(self, conf: Nearest, idf: dict[str, float], texts: Iterable[list[str] | dict[str, int]], labels: np.ndarray):
+    def __init__(self, conf: Nearest, idf: dict[str, float], texts: Iterable[list[str] | dict[str, int] | tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
         self.conf, self.labels = conf, labels.astype(float)
         self.terms, self.idf = {t: i for i, t in enumerate(idf)}, np.fromiter(idf.values(), float, len(idf))
         rows = [self.weigh(t) for t in texts]
@@ -143,16 +149,16 @@ class Index:
         cut = slice(self.ends[i], self.ends[i + 1])
         return self.row_ids[cut], self.row_w[cut]
 
-    def weigh(self, terms: list[str] | dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the known terms and their normalised weights, of terms with repeats or of their counts."""
-        counts = terms if isinstance(terms, dict) else Counter(terms)
-        get = self.terms.get
-        ids = np.array(list(map(get, counts, repeat(-1))), np.int32)
-        n = np.fromiter(counts.values(), float, len(counts))[ids >= 0]
-        ids = ids[ids >= 0]
+    def weigh(self, terms: list[str] | dict[str, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the known terms and their normalised weights, of terms with repeats, of their counts or of ``known``."""
+        ids, n = terms if isinstance(terms, tuple) else self.known(terms if isinstance(terms, dict) else Counter(terms))
         v = (1 + np.log(n)) * self.idf[ids]
         return ids, v / max(float(v @ v) ** 0.5, 1e-300)
 
+    def known(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the known terms and how often each stands there."""
+        return _known(self.terms, counts)
+
     def vector(self, terms: list[str] | dict[str, int]) -> dict[str, float]:
         return self._named(*self.weigh(terms))
 
@@ -240,11 +246,24 @@ class Index:
         return out
 
 
+def _numbers(every: dict[str, int], chosen: dict[str, int]) -> np.ndarray:
+    """For each number of ``every`` its term's number in ``chosen``, or -1."""
+    out = np.full(len(every), -1, np.int32)
+    out[[every[t] for t in chosen]] = list(chosen.values())
+    return out
+
+
+def _only(also: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids = also[known[0]]
+    return ids[ids >= 0], known[1][ids >= 0]
+
+
 class Examples:
     """The same examples over all of their terms and over the separating ones; an example's similarity is the larger cosine."""
 
     def __init__(self, conf: Nearest, every: Index, chosen: Index, keys: list[int | None]):
         self.conf, self.every, self.chosen, self.labels, self.keys = conf, every, chosen, every.labels, keys
+        self.also = _numbers(every.terms, chosen.terms)
         self.slope, self.shift = 1.0, 0.0
 
     def nearest(self, every: list[tuple], chosen: list[tuple], without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -253,8 +272,12 @@ class Examples:
             part = slice(a, a + BATCH)
             sums = [ix.common(v[part]) for ix, v in ((self.every, every), (self.chosen, chosen))]
             for e, c, out, se, sc in zip(every[part], chosen[part], without[part], *sums):
+                near = self.every.closest(*e, out, se)
+                if not len(c[0]):
+                    yield near
+                    continue
                 best: dict[int, float] = {}
-                for i, s in (*zip(*self.every.closest(*e, out, se)), *zip(*self.chosen.closest(*c, out, sc))):
+                for i, s in (*zip(*near), *zip(*self.chosen.closest(*c, out, sc))):
                     best[int(i)] = max(best.get(int(i), 0.0), float(s))
                 found = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[: self.conf.k]
                 yield np.array([i for i, _ in found], np.int64), np.array([s for _, s in found], float)
@@ -284,8 +307,8 @@ class Examples:
 
     def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         for a in range(0, len(texts), BATCH):
-            terms = [_counts(t) for t in texts[a : a + BATCH]]
-            every, chosen = [self.every.weigh(t) for t in terms], [self.chosen.weigh(t) for t in terms]
+            terms = [self.every.known(_counts(t)) for t in texts[a : a + BATCH]]
+            every, chosen = [self.every.weigh(t) for t in terms], [self.chosen.weigh(_only(self.also, t)) for t in terms]
             for vote, at, s in self.votes(every, chosen, [-1] * len(terms)):
                 yield float(1 / (1 + np.exp(-(self.slope * vote + self.shift)))), at, s
 
@@ -303,20 +326,43 @@ def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "
         return None
     llr = _llr(F.col("k").cast("double"), F.lit(float(sizes[0])), F.col("kt").cast("double"), F.lit(float(sizes[1])))
     chosen = [r["t"] for r in _class_counts(rows).select("t", "k", "kt", llr.alias("s")).where((F.col("s") >= conf.min_llr) & (F.col("kt") >= conf.min_share * (F.col("k") + F.col("kt")))).orderBy(F.desc("s"), "t").limit(conf.terms).collect()]
-    sample = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(conf.examples).select("x", "y", "key").collect()]
+    parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(conf.examples) for y in (0, 1)]
+    sample = saved(parts[0].union(parts[1]))
     drop(rows)
-    held = set(chosen)
-    for r in sample:  # one text's terms at a time
-        held.update(_counts(r["x"]))
-    every = sorted(held)
-    del held
+    every = sorted(set(chosen) | {r["t"] for r in _class_counts(sample).select("t").toLocalIterator()})
     df, total = document_frequencies(docs, every, text), docs.count()
     idf = dict(zip(every, (np.log((1 + total) / (1 + df)) + 1).tolist()))
     del every
-    labels, keys = np.array([r["y"] for r in sample]), [r["key"] for r in sample]
-    indexes = [Index(conf, known, (_counts(r["x"]) for r in sample), labels) for known in (idf, {t: idf[t] for t in chosen})]
-    del idf, sample
-    return Examples(conf, *indexes, keys).calibrate()
+    place = {t: i for i, t in enumerate(idf)}
+    found = _numbered(sample, place)
+    drop(sample)
+    labels, keys = found["y"].to_numpy(), [None if k is None else int(k) for k in found["key"]]
+    known = [(np.frombuffer(i, np.int32), np.frombuffer(n, np.int32)) for i, n in zip(found["ids"], found["counts"])]
+    del found
+    some = {t: idf[t] for t in chosen}
+    also = _numbers(place, {t: i for i, t in enumerate(some)})
+    del place
+    second = Index(conf, some, [_only(also, x) for x in known], labels)
+    first = Index(conf, idf, known, labels)
+    del known, idf
+    return Examples(conf, first, second, keys).calibrate()
+
+
+def _numbered(sample: DataFrame, place: dict[str, int]) -> pd.DataFrame:
+    """(y, key, ids, counts) of each example in a fixed order: its terms' numbers and counts as packed integers, so that no
+    text comes to the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast(place)
+
+    def number(batches):
+        for batch in batches:
+            packed = [[a.tobytes() for a in _known(shared.value, _counts(x))] for x in batch["x"]]
+            yield pd.DataFrame({"y": batch["y"], "h": batch["h"], "m": batch["m"], "key": batch["key"],
+                                "ids": [p[0] for p in packed], "counts": [p[1] for p in packed]})
+
+    rows = sample.select("x", "y", F.xxhash64("x").alias("h"), F.md5("x").alias("m"), F.col("key").cast("string").alias("key"))
+    out = rows.mapInPandas(number, "y int, h long, m string, key string, ids binary, counts binary").toPandas()
+    shared.destroy()
+    return out.sort_values(["y", "h", "m"], ignore_index=True)
 
 
 def scored(docs: DataFrame, index: Examples | None, text: str = "text") -> DataFrame:
