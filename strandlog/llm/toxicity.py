@@ -5,6 +5,7 @@ documents. Long texts drown a few insults in ordinary words, so a second index h
 terms that separate the classes by their log-likelihood ratio over distinct learned texts; the similarity to an example
 is the larger of both cosines. An index holds, per term, example postings in blocks with the largest weight of each; a
 query accumulates its terms from the strongest bound down and skips blocks that can't lift an example into its nearest.
+Words of queries are cut and numbered as arrays, and known terms told apart by 64 bits of their hash.
 Similarity-weighted votes are calibrated by a logistic fit on the examples themselves, each scored without itself.
 """
 
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from strandlog.llm.language import held_out
 from strandlog.llm.scratch import drop, saved, unused
+from strandlog.llm.words import mixed, word_hashes
 
 STEM = 5
 BATCH = 256  # texts whose common terms are looked up at once
+BLOCK_CHARS, HASHED_CHARS = 1 << 19, 1 << 17  # of texts that are cut into words at once, and of words that are hashed at once
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -62,19 +66,107 @@ def _known(place: dict[str, int], counts: dict[str, int]) -> tuple[np.ndarray, n
     return ids[ids >= 0], n
 
 
+@cache
+def _chars() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point, whether it may stand in a word, and 64 bits for hashes."""
+    inside = np.zeros(0x110000, bool)
+    every = np.arange(len(inside), dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")  # not a string for each
+    for m in _WORD.finditer(every):
+        inside[m.start() : m.end()] = True
+    return inside, mixed(np.arange(1, len(inside) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """The code points of the texts, with a line feed between two."""
+    return np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Numbers:
+    """The terms of many texts by number, without a string for each word: words are cut and hashed as arrays of code points.
+
+    Terms are known by 64 bits of their hash; those of a stem are the complement of its letters'. ``counts`` gives what
+    ``_known`` of ``_counts`` does, by number, but for a chance of about one in 2**64 / terms for each different unknown word.
+    """
+
+    def __init__(self, place: dict[str, int]):
+        self.size = max(place.values(), default=-1) + 1
+        stem = np.fromiter((t[-1:] == "~" for t in place), bool, len(place))
+        ends = np.cumsum(np.fromiter(map(len, place), np.int64, len(place)) + 1) - 1
+        starts = np.concatenate(([0], ends + 1))[:-1]
+        codes, ends = _codes(list(place)), ends - stem
+        hashes = np.zeros(len(place), np.uint64)
+        for a, b in self._parts(starts):
+            hashes[a:b] = word_hashes(codes[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a], _chars()[1])
+        hashes[stem] = ~hashes[stem]
+        order = np.argsort(hashes)
+        self.hashes = np.append(hashes[order], np.uint64((1 << 64) - 1))
+        self.ids = np.append(np.fromiter(place.values(), np.int32, len(place))[order], np.int32(-1))
+        bits = len(place).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.hashes[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    @staticmethod
+    def _parts(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        a = 0
+        while a < len(starts):
+            b = int(np.searchsorted(starts, starts[a] + HASHED_CHARS))
+            yield a, b
+            a = b
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the term of each hash, or -1."""
+        at = self.first[hashes >> self.shift]
+        left = np.flatnonzero(self.hashes[at] < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.hashes[at[left]] < hashes[left]]
+        return np.where(self.hashes[at] == hashes, self.ids[at], -1)
+
+    def counts(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text, the numbers of its known terms in order, and how often each stands there."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t.lower())
+            size += len(held[-1])
+            if size >= BLOCK_CHARS:
+                yield from self._block(held)
+                held, size = [], 0
+        if held:
+            yield from self._block(held)
+
+    def _block(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        codes = _codes(texts)
+        inside, bits = _chars()
+        edges = np.flatnonzero(np.diff(inside[codes], prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        rows = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+        found = [np.zeros(0, np.int64)]
+        for a, b in self._parts(starts):
+            s, e, row = starts[a:b] - starts[a], ends[a:b] - starts[a], rows[a:b]
+            long = e - s > STEM
+            stems = s[long]
+            h = word_hashes(codes[starts[a] : ends[b - 1]], np.concatenate((s, stems)), np.concatenate((e, stems + STEM)), bits)
+            h[len(s) :] = ~h[len(s) :]
+            ids = self.of(h)
+            found.append((np.concatenate((row, row[long])) * self.size + ids)[ids >= 0])
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(len(texts) + 1) * self.size)
+        ids = (keys - np.repeat(np.arange(len(texts)) * self.size, np.diff(cuts))).astype(np.int32)
+        n = n.astype(np.int32)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield ids[a:b], n[a:b]
+
+
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> np.ndarray:
     """In how many rows each of ``terms`` stands; counted per task, so that only one number a term and task is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    shared = docs.sparkSession.sparkContext.broadcast(Numbers({t: i for i, t in enumerate(terms)}))
 
     def count(batches):
-        place = shared.value
-        n = np.zeros(len(place), np.int64)
+        numbers = shared.value
+        n = np.zeros(numbers.size, np.int64)
         for batch in batches:
-            for t in batch["x"]:
-                if isinstance(t, str):
-                    words = set(_WORD.findall(t.lower()))
-                    words.update([w[:STEM] + "~" for w in words if len(w) > STEM])
-                    n[[i for i in map(place.get, words) if i is not None]] += 1
+            for ids, _ in numbers.counts(t for t in batch["x"] if isinstance(t, str)):
+                n[ids] += 1
         at = np.flatnonzero(n)
         yield pd.DataFrame({"t": at, "n": n[at]})
 
@@ -263,7 +355,7 @@ class Examples:
 
     def __init__(self, conf: Nearest, every: Index, chosen: Index, keys: list[int | None]):
         self.conf, self.every, self.chosen, self.labels, self.keys = conf, every, chosen, every.labels, keys
-        self.also = _numbers(every.terms, chosen.terms)
+        self.also, self.numbers = _numbers(every.terms, chosen.terms), Numbers(every.terms)
         self.slope, self.shift = 1.0, 0.0
 
     def nearest(self, every: list[tuple], chosen: list[tuple], without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -307,7 +399,7 @@ class Examples:
 
     def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         for a in range(0, len(texts), BATCH):
-            terms = [self.every.known(_counts(t)) for t in texts[a : a + BATCH]]
+            terms = list(self.numbers.counts(texts[a : a + BATCH]))
             every, chosen = [self.every.weigh(t) for t in terms], [self.chosen.weigh(_only(self.also, t)) for t in terms]
             for vote, at, s in self.votes(every, chosen, [-1] * len(terms)):
                 yield float(1 / (1 + np.exp(-(self.slope * vote + self.shift)))), at, s
@@ -351,11 +443,11 @@ def fit(labelled: DataFrame, docs: DataFrame, text: str = "text", label: str = "
 def _numbered(sample: DataFrame, place: dict[str, int]) -> pd.DataFrame:
     """(y, key, ids, counts) of each example in a fixed order: its terms' numbers and counts as packed integers, so that no
     text comes to the driver."""
-    shared = sample.sparkSession.sparkContext.broadcast(place)
+    shared = sample.sparkSession.sparkContext.broadcast(Numbers(place))
 
     def number(batches):
         for batch in batches:
-            packed = [[a.tobytes() for a in _known(shared.value, _counts(x))] for x in batch["x"]]
+            packed = [[a.tobytes() for a in known] for known in shared.value.counts(batch["x"])]
             yield pd.DataFrame({"y": batch["y"], "h": batch["h"], "m": batch["m"], "key": batch["key"],
                                 "ids": [p[0] for p in packed], "counts": [p[1] for p in packed]})
 

@@ -175,6 +175,35 @@ def test_nearest_of_long_lists_is_exact(whole, copies):
             assert [j for _, j in want] == at.tolist()
 
 
+def test_numbers_count_as_the_plain_way(monkeypatch):
+    """Terms numbered by arrays are the terms of the plain count, in texts of any script and in blocks and parts of any size."""
+    rng = random.Random(7)
+    letters = "abcdeABZ019_-~'\n\t éÉßẞİıΣσςǅﬁ²٣漢字ñ́\u200d\U00010400\U0001f600\x00"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 120))) for _ in range(300)]
+    texts += ["", " ", "_", "ΟΔΟΣ", "İstanbul Istanbul", "longword longwords LONGWO longw long", "x" * 5000, "word " * 3000, ""]
+    seen = sorted({t for x in texts for t in toxicity._counts(x)})
+    terms = rng.sample(seen, len(seen) // 2) + ["absent", "absen~"]
+    place = {t: 2 * i for i, t in enumerate(terms)}
+    names = {i: t for t, i in place.items()}
+    want = [{t: n for t, n in toxicity._counts(x).items() if t in place} for x in texts]
+    for block, part in ((1 << 19, 1 << 17), (1, 1), (500, 40)):
+        monkeypatch.setattr(toxicity, "BLOCK_CHARS", block)
+        monkeypatch.setattr(toxicity, "HASHED_CHARS", part)
+        got = list(toxicity.Numbers(place).counts(texts))
+        assert [{names[i]: n for i, n in zip(ids.tolist(), k.tolist())} for ids, k in got] == want
+    assert [len(ids) for ids, _ in toxicity.Numbers({}).counts(texts)] == [0] * len(texts)
+    assert [len(ids) for ids, _ in toxicity.Numbers(place).counts([""])] == [0] and not list(toxicity.Numbers(place).counts([]))
+
+
+def test_toxicity_makes_no_string_of_a_word(spark, monkeypatch):
+    """Scores come from numbered terms; the plain count by names is only for the classes."""
+    rows = [(i, f"fine words number {i}", 0) for i in range(10, 30)] + [(i, f"foul words number {i}", 1) for i in range(30, 50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    index = toxicity.fit(frame, frame)
+    monkeypatch.setattr(toxicity, "_counts", None)
+    assert index.score("foul words")[0] > index.score("fine words")[0]
+
+
 def test_toxicity_evidence(spark):
     """The nearest examples are named by the least doc_id of their text, and columns of the caller pass through."""
     rows = [(i, f"fine words number {i}", 0) for i in range(10, 30)] + [(i, f"foul words number {i}", 1) for i in range(30, 50)] + [(60, "foul words number 31", 1)]
