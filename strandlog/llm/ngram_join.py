@@ -243,22 +243,20 @@ class NgramJoin:
 
         return rows.mapInArrow(make, "id long, tokens binary")
 
-    def verified(self, hubs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """(u, v): for each pair of hubs(hub, other), a linked pair of a member of one and of the other, if any.
+    def verified(self, hubs: DataFrame, members: DataFrame | None, sets: DataFrame) -> DataFrame:
+        """(u, v): for each pair of hubs(hub, other, hub_size, size), a linked pair of a member of one and of the other, if any.
 
-        members(group, id). Members of a hub and of all its others are dealt into blocks, and each block of one meets
-        each block of the other in one place; a set is sent once per block that it meets.
+        members(group, id), or None if each group is one set, of its id. Members of a hub and of all its others are dealt
+        into blocks, and each block of one meets each block of the other in one place; a set is sent once per block that
+        it meets.
         """
-        size = members.groupBy("group").agg(F.count("*").alias("size"))
-        load = (hubs.join(size.select(F.col("group").alias("other"), F.col("size").alias("s")), "other").groupBy("hub").agg(F.sum("s").alias("s"))
-                .join(size.select(F.col("group").alias("hub"), F.col("size").alias("h")), "hub"))
-        blocks = lambda c: F.ceil(F.col(c) / self.block).cast("int")
-        load = load.select("hub", blocks("h").alias("nh"), blocks("s").alias("no"))
+        blocks = lambda c: F.ceil(c / self.block).cast("int")
+        load = hubs.groupBy("hub").agg(blocks(F.max("hub_size")).alias("nh"), blocks(F.sum("size")).alias("no"))
+        of = lambda df, c: df.withColumn("id", F.col(c)) if members is None else df.join(members.withColumnRenamed("group", c), c)
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        hub_side = (load.join(members.withColumnRenamed("group", "hub"), "hub")
-                    .select("hub", place("nh").alias("i"), all_of("no").alias("j"), F.lit(0).alias("side"), F.col("hub").alias("grp"), "id"))
-        other_side = (hubs.join(load, "hub").join(members.withColumnRenamed("group", "other"), "other")
+        hub_side = of(load, "hub").select("hub", place("nh").alias("i"), all_of("no").alias("j"), F.lit(0).alias("side"), F.col("hub").alias("grp"), "id")
+        other_side = (of(hubs.join(load, "hub"), "other")
                       .select("hub", all_of("nh").alias("i"), place("no").alias("j"), F.lit(1).alias("side"), F.col("other").alias("grp"), "id"))
         rows = hub_side.union(other_side).join(sets, "id")
         cells = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side", "grp", "id")
@@ -303,11 +301,10 @@ class NgramJoin:
         drop(signed)
         stars = found.where("id <> hub").select("hub", F.col("id").alias("other"), "n").distinct()
         stars = saved(stars.join(sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub").where(
-            self.percent * F.greatest("n", "hub_n") <= 100 * F.least("n", "hub_n")).select("hub", "other"))
+            self.percent * F.greatest("n", "hub_n") <= 100 * F.least("n", "hub_n")).select("hub", "other", F.lit(1).alias("hub_size"), F.lit(1).alias("size")))
         met = saved(found.where("size > 2 AND id <> hub").select("sig", "id", "n"))
         drop(found)
-        alone = stars.select(F.explode(F.array("hub", "other")).alias("id")).distinct().select(F.col("id").alias("group"), "id")
-        stage = self._linked_by(docs, key, text, sets, stars, alone)
+        stage = self._linked_by(docs, key, text, sets, stars, None)
         for turn in range(1, self.turns + 2):
             named = met.join(stage, "id", "left").withColumn("component", F.coalesce("component", "id"))
             open_ = named.groupBy("sig", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("id").alias("one"), F.count("*").alias("ids"))
@@ -343,9 +340,10 @@ class NgramJoin:
     def _hub(self, id_: str, turn: int) -> Column:
         return F.min(F.col(id_).bitwiseXOR(self._turned(turn))).alias("hub")
 
-    def _linked_by(self, docs: DataFrame, key: str, text: str, sets: DataFrame, hubs: DataFrame, members: DataFrame, stage: DataFrame | None = None) -> DataFrame:
-        """(id, component) after the links that hubs(hub, other) and members(group, id) lead to, and those of ``stage``."""
-        tokens = saved(self.token_sets(docs, key, text, sets.join(members.select("id"), "id", "left_semi")))
+    def _linked_by(self, docs: DataFrame, key: str, text: str, sets: DataFrame, hubs: DataFrame, members: DataFrame | None, stage: DataFrame | None = None) -> DataFrame:
+        """(id, component) after the links that hubs and members lead to (see ``verified``), and those of ``stage``."""
+        ids = hubs.select(F.explode(F.array("hub", "other")).alias("id")).distinct() if members is None else members.select("id")
+        tokens = saved(self.token_sets(docs, key, text, sets.join(ids, "id", "left_semi")))
         links = saved(self.verified(hubs, members, tokens))
         drop(hubs, tokens)
         edges = links if stage is None else links.union(stage.select(F.col("id").alias("u"), F.col("component").alias("v")))
@@ -356,14 +354,14 @@ class NgramJoin:
     def _compared(self, docs: DataFrame, key: str, text: str, sets: DataFrame, pairs: DataFrame, stage: DataFrame) -> DataFrame:
         """The stage after pairs(a, b) of components have been compared, the larger of each as the hub."""
         groups = pairs.select(F.explode(F.array("a", "b")).alias("group")).distinct()
-        members = stage.select(F.col("component").alias("group"), "id").join(groups, "group", "left_semi")
-        lone = groups.join(stage.select(F.col("component").alias("group")), "group", "left_anti").select("group", F.col("group").alias("id"))
-        members = saved(members.union(lone))
+        # a set that has no link yet is not in the stage, and its id is its component
+        members = saved(groups.join(stage.select(F.col("component").alias("group"), "id"), "group", "left").select("group", F.coalesce("id", "group").alias("id")))
         size = members.groupBy("group").agg(F.count("*").alias("size"))
         sized = (pairs.join(size.select(F.col("group").alias("a"), F.col("size").alias("sa")), "a")
                  .join(size.select(F.col("group").alias("b"), F.col("size").alias("sb")), "b"))
-        hubs = saved(sized.select(F.when(F.col("sa") >= F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("hub"),
-                                  F.when(F.col("sa") >= F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("other")))
+        larger = F.col("sa") >= F.col("sb")
+        hubs = saved(sized.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("other"),
+                                  F.greatest("sa", "sb").alias("hub_size"), F.least("sa", "sb").alias("size")))
         out = self._linked_by(docs, key, text, sets, hubs, members, stage)
         drop(pairs, members)
         return out

@@ -665,3 +665,28 @@ def test_ngram_join_of_a_large_group(spark, plan):
     got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), **plan).collect()}
     assert got == {i: root(i) for i in range(150)}
     assert len(set(got.values())) > 1
+
+
+def test_components_of_few_and_of_many_edges(spark, monkeypatch):
+    from strandlog.llm import components as module
+
+    rng, parent, written = random.Random(4), list(range(400)), []
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    edges = [(i, i + 1) for i in range(300, 399)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(7, 7), (3, 290), (290, 3)]
+    for u, v in edges:
+        lo, hi = sorted((root(u), root(v)))
+        parent[hi] = lo
+    want = {i: root(i) for u, v in edges if u != v for i in (u, v)}
+    table = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    monkeypatch.setattr(module, "saved", lambda df, f=module.saved: written.append(1) or f(df))
+    rows = [(r.id, r.component) for r in module.components(table).collect()]
+    assert dict(rows) == want and len(rows) == len(want) and not written  # few edges take no rounds
+    for few in (0, 260):  # 0: rounds only
+        rows = [(r.id, r.component) for r in module.components(table, few).collect()]
+        assert dict(rows) == want and len(rows) == len(want) and written
+    assert not module.components(table.where("u < 0")).collect() and not module.components(table.where("u < 0"), -1).collect()
