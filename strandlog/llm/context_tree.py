@@ -22,18 +22,37 @@ from pyspark.sql import functions as F
 
 from strandlog.llm.language import held_out
 from strandlog.llm.scratch import drop, saved
-from strandlog.llm.words import LOWER, blocks, mixed, word_hashes, word_spans
+from strandlog.llm.words import IS_SPACE, LOWER, blocks, mixed, word_hashes, word_spans
 
 DEPTH = 5
 #: Bytes of a block, buckets, and partitions whose blocks meet in one task for a bucket.
 BLOCK, BUCKETS, TOGETHER = 48_000_000, 256, 256
+#: Bytes of texts, and keys, that are worked on at once: what a task holds beside its block follows them, not the texts.
+CHUNK, SLICE = 1 << 18, 1 << 18
 _WORD = np.int64(1 << 62)  # marks the keys of words; those of contexts have 48 bits
 _END = np.int64(-0x61C8864680B583EB)  # the hash of the end token
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, offsets: np.ndarray):
+    """(bytes, offsets, bytes of them that only lead, whether the end is in it): texts as they are, but one long text in
+    pieces of about ``CHUNK`` bytes that end after white space (no word is cut), each led by ``DEPTH`` bytes of the one before."""
+    a, end = 0, len(data)
+    if len(offsets) > 2 or end <= CHUNK:
+        yield data, offsets, 0, True
+        return
+    while a < end:
+        b = a + CHUNK
+        while b < end and not IS_SPACE[part := data[b : b + CHUNK]].any():
+            b += CHUNK
+        b = min(end, b + int(IS_SPACE[part].argmax()) + 1) if b < end else end
+        lead = min(a, DEPTH)
+        yield data[a - lead : b], np.array([0, b - a + lead]), lead, b == end
+        a = b
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, lead: int = 0, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Keys (last byte first, then the byte itself) of all bytes and the end mark (0) of each text, and their text's row.
-    Contexts before a text are zeros."""
+    Contexts before a text are zeros. lead, last: of a piece."""
     n = len(offsets) - 1
     size = len(data) + n * (DEPTH + 1)
     rows = np.repeat(np.arange(n), np.diff(offsets))
@@ -45,13 +64,15 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     key = wide.copy()
     for k in range(1, DEPTH + 1):
         key[k:] |= wide[:-k] << (8 * (DEPTH + 1 - k))
-    return key[asked], np.repeat(np.arange(n), np.diff(offsets) + 1)
+    own = slice(lead, None if last else -1)
+    return key[asked][own], np.repeat(np.arange(n), np.diff(offsets) + 1)[own]
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and of an end per text, and their text's row."""
+def tokens(data: np.ndarray, offsets: np.ndarray, lead: int = 0, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of an end per text, and their text's row. lead, last: of a piece."""
+    data, offsets = data[lead:], np.maximum(offsets - lead, 0)
     starts, ends, rows = word_spans(data, offsets)
-    n = len(offsets) - 1
+    n = len(offsets) - 1 if last else 0
     keys = np.concatenate((word_hashes(data, starts, ends), np.full(n, _END).view(np.uint64)))
     return (keys >> np.uint64(2)).view(np.int64) | _WORD, np.concatenate((rows, np.arange(n)))
 
@@ -147,7 +168,7 @@ def pack(x: np.ndarray) -> bytes:
     return len(x).to_bytes(8, "little") + pa.compress(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
-def unpack(x: bytes) -> np.ndarray:
+def unpack(x: bytes | pa.Buffer) -> np.ndarray:
     n = int.from_bytes(x[:8], "little")
     data = np.frombuffer(pa.decompress(x[8:], 8 * n, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
     return np.ascontiguousarray(data.reshape(8, n).T).view(np.int64).reshape(n)
@@ -158,17 +179,27 @@ def pack_keys(x: np.ndarray) -> bytes:
     return pack(np.diff(x, prepend=0))
 
 
-def unpack_keys(x: bytes) -> np.ndarray:
+def unpack_keys(x: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(unpack(x))
 
 
 def merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, rising, and the sums of their counts."""
-    k, c = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *n])
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
+    """The different keys, rising, and the sums of their counts, from arrays of rising keys; a range of keys at a time."""
+    out_k, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ranges = -(-sum(len(k) for k in keys) // SLICE)
+    pivots = np.sort(np.concatenate([k[:: max(1, len(k) // (4 * ranges))] for k in keys])) if ranges > 1 else np.zeros(0, np.int64)
+    pivots = np.unique(pivots[np.arange(1, ranges) * len(pivots) // max(1, ranges)])
+    at = [np.concatenate(([0], np.searchsorted(k, pivots), [len(k)])) for k in keys]
+    for i in range(len(pivots) + 1):
+        k, c = (np.concatenate([np.zeros(0, np.int64), *[x[a[i] : a[i + 1]] for x, a in zip(xs, at)]]) for xs in (keys, n))
+        if not len(k):
+            continue
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        out_k.append(k[first])
+        out_c.append(np.add.reduceat(c, first))
+    return np.concatenate(out_k), np.concatenate(out_c)
 
 
 def bucket_of(keys: np.ndarray) -> np.ndarray:
@@ -185,8 +216,11 @@ class Book:
         order = np.argsort(k)
         self.keys, self.values = k[order], values[order]
         self.shift = np.uint64(64 - max(1, len(k).bit_length() + 1))
-        starts = np.searchsorted(self.keys >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64))
-        self.starts = starts.astype(np.int32)
+        self.starts = np.empty(1 << (64 - int(self.shift)), np.int32)
+        lead = self.keys >> self.shift
+        for a in range(0, len(self.starts), SLICE):
+            part = self.starts[a : a + SLICE]
+            part[:] = np.searchsorted(lead, np.arange(a, a + len(part), dtype=np.uint64))
 
     @staticmethod
     def _scattered(keys: np.ndarray) -> np.ndarray:
@@ -211,8 +245,9 @@ def _blocked(batches):
     block, size, held = place << 20, 0, []
 
     def keys_out():
-        keys, n = merged([(u >> np.uint64(1)).view(np.int64) for u, _ in held], [c * (u & np.uint64(1)).view(np.int64) for u, c in held])
-        bucket = bucket_of(keys)
+        keys, n = merged(*zip(*held))
+        held.clear()
+        bucket = bucket_of(keys).astype(np.int16)
         order = np.argsort(bucket, kind="stable")
         keys, n = keys[order], n[order]
         cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
@@ -227,28 +262,33 @@ def _blocked(batches):
     for batch in batches:
         kind = batch.column(0).type
         train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-        for first, end, data, offsets in blocks(batch.column(2)):
+        for first, end, data, offsets in blocks(batch.column(2), CHUNK):
             if size and size + len(data) > BLOCK:
                 yield from keys_out()
-                block, size, held = block + 1, 0, []
+                block, size = block + 1, 0
             size += len(data)
             n = end - first
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, block)), *(batch.column(i).slice(first, n) for i in range(3)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                  pa.nulls(n, pa.binary())], ["block", "k", "t", "x", "bucket", "keys", "n"])
-            low = LOWER[data]
-            for keys, rows in (grams(low, offsets), tokens(low, offsets)):
-                u, c = np.unique(keys.view(np.uint64) << np.uint64(1) | train[first + rows], return_counts=True)
-                held.append((u, c))
-            if sum(len(u) for u, _ in held) > 3_000_000:
-                u, at = np.unique(np.concatenate([u for u, _ in held]), return_inverse=True)
-                held = [(u, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64))]
+            for piece in pieces(LOWER[data], offsets):
+                for keyed in (grams, tokens):
+                    keys, rows = keyed(*piece)
+                    u, c = np.unique(keys.view(np.uint64) << np.uint64(1) | train[first + rows], return_counts=True)
+                    held.append(((u >> np.uint64(1)).view(np.int64), c * (u & np.uint64(1)).view(np.int64)))
+                if sum(len(k) for k, _ in held) > 3 * SLICE + 2 * len(held[0][0]):
+                    held[:] = [merged(*zip(*held))]
     if held:
         yield from keys_out()
 
 
+def _read(table: pa.Table, column: str, read) -> list[np.ndarray]:
+    """The arrays of a column of binaries, which are not copied first."""
+    return [read(x.as_buffer()) for x in table.column(column)]
+
+
 def _together(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return merged([unpack_keys(x) for x in table.column("keys").to_pylist()], [unpack(x) for x in table.column("n").to_pylist()])
+    return merged(_read(table, "keys", unpack_keys), _read(table, "n", unpack))
 
 
 def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,7 +334,7 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
         v = n.astype(np.float64)
         if not words.all():
             v[~words] = predictions(keys[~words], v[~words], one, root) / math.log(10)
-        out = [v[np.searchsorted(keys, unpack_keys(x))].tobytes() for x in left.column("keys").to_pylist()]
+        out = [v[np.searchsorted(keys, k)].tobytes() for k in _read(left, "keys", unpack_keys)]
         return pa.table([left.column("block"), left.column("keys"), pa.array(out, pa.binary())], ["block", "keys", "v"])
 
     salts = asked.select(F.col("salt").alias("place")).distinct()
@@ -303,25 +343,26 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
     drop(counts)
 
     def score(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        keys = [unpack_keys(x) for x in entries.column("keys").to_pylist()]
-        v = [np.frombuffer(x, np.float64) for x in entries.column("v").to_pylist()]
+        book = None
+        if entries.num_rows:
+            book = Book(np.concatenate(_read(entries, "keys", unpack_keys)), np.concatenate(_read(entries, "v", lambda x: np.frombuffer(x, np.float64))))
         del entries
-        book = Book(np.concatenate(keys), np.concatenate(v)) if keys else None
         n_rows = texts.num_rows
         got = {c: np.zeros(n_rows) for c in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
         first = 0
         for chunk in texts.column("x").chunks:
-            for at, end, data, offsets in blocks(chunk):
+            for at, end, data, offsets in blocks(chunk, CHUNK):
                 at, end = first + at, first + end
-                data, n = LOWER[data], end - at
-                keys, rows = grams(data, offsets)
-                got["score"][at:end] = np.bincount(rows, book[keys], n)
+                n = end - at
                 got["n_bytes"][at:end] = np.diff(offsets) + 1
-                keys, rows = tokens(data, offsets)
-                c = book[keys]
-                got["n_tokens"][at:end] = np.bincount(rows, minlength=n)
-                got["n_known"][at:end] = np.bincount(rows, c > 0, n)
-                got["base_score"][at:end] = np.bincount(rows, np.log10((c + 1) / (total + different + 1)), n)
+                for piece in pieces(LOWER[data], offsets):
+                    keys, rows = grams(*piece)
+                    got["score"][at:end] += np.bincount(rows, book[keys], n)
+                    keys, rows = tokens(*piece)
+                    c = book[keys]
+                    got["n_tokens"][at:end] += np.bincount(rows, minlength=n)
+                    got["n_known"][at:end] += np.bincount(rows, c > 0, n)
+                    got["base_score"][at:end] += np.bincount(rows, np.log10((c + 1) / (total + different + 1)), n)
             first += len(chunk)
         return pa.table([texts.column("k"), texts.column("t"), pa.array(got["n_tokens"].astype(np.int64)), pa.array(got["n_known"].astype(np.int64)),
                          pa.array(np.full(n_rows, total, np.int64)), pa.array(got["base_score"]), pa.array(got["score"]),

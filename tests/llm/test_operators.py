@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -425,6 +427,53 @@ def test_packed_keys():
     assert (book[keys[::-1]] == np.arange(len(keys))[::-1]).all()
 
 
+def test_pieces_of_a_long_text():
+    words = [w.encode() for w in ("the", "Straße", "a", "cat's", "x" * 300, "")]
+    rng = random.Random(7)
+    text = np.frombuffer(b" ".join(rng.choice(words) for _ in range(12_000)) + b"y" * 2 * context_tree.CHUNK + b" end", np.uint8)
+    parts = list(context_tree.pieces(text, np.array([0, len(text)])))
+    assert len(parts) > 3 and [last for *_, last in parts] == [False] * (len(parts) - 1) + [True]
+    for keyed in (context_tree.grams, context_tree.tokens):
+        got = [keyed(*p) for p in parts]
+        assert (np.concatenate([k for k, _ in got]) == keyed(text, np.array([0, len(text)]))[0]).all() and not any(r.any() for _, r in got)
+
+
+@pytest.mark.parametrize("slice_", [7, 1000])
+def test_merged_by_ranges(monkeypatch, slice_):
+    monkeypatch.setattr(context_tree, "SLICE", slice_)
+    rng = np.random.default_rng(5)
+    keys = [np.sort(rng.integers(-50, k, 40 * k)) for k in (1, 3, 60)] + [np.zeros(0, np.int64)]
+    n = [rng.integers(0, 9, len(k)) for k in keys]
+    want = Counter()
+    for k, c in zip(np.concatenate(keys), np.concatenate(n)):
+        want[int(k)] += int(c)
+    got = context_tree.merged(keys, n)
+    assert got[0].tolist() == sorted(want) and got[1].tolist() == [want[k] for k in sorted(want)]
+
+
+@pytest.mark.parametrize("n", [1, 2000])
+def test_blocks_take_bounded_memory(monkeypatch, n):
+    """Long or short, 8 MB of text are counted whole, in less than 100 MB beside the texts."""
+    import tracemalloc
+
+    monkeypatch.setattr(context_tree, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    words = ["%x" % (i * i) for i in range(20_000)]
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(words, k=1_200_000 // n)) for _ in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([True] * n), pa.array(texts)], ["k", "t", "x"])
+    context_tree.word_hashes(np.zeros(1, np.uint8), np.zeros(1, int), np.ones(1, int))
+    tracemalloc.start()
+    out = list(context_tree._blocked([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys = np.concatenate([context_tree.unpack_keys(x) for b in out for x in b.column(5).to_pylist() if x])
+    count = np.concatenate([context_tree.unpack(x) for b in out for x in b.column(6).to_pylist() if x])
+    of_words = keys & context_tree._WORD != 0
+    assert len(np.unique(keys)) == len(keys) and count[~of_words].sum() == sum(map(len, texts)) + n
+    assert sorted(count[of_words]) == sorted([*Counter(w for t in texts for w in t.split()).values(), n])
+    assert sum(len(b.column(3).drop_null()) for b in out) == n and peak < 100e6
+
+
 def test_log_kt():
     p = 1.0
     for i, (num, den) in enumerate([(0.5, 1), (1.5, 2), (0.5, 3)]):  # 0, 0, 1
