@@ -291,6 +291,17 @@ def _together(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return merged(_read(table, "keys", unpack_keys), _read(table, "n", unpack))
 
 
+def _seated(keys: DataFrame, *tables: DataFrame, by: str) -> list[DataFrame]:
+    """The tables in a partition for each different value of ``by`` in ``keys``, by a column ``seat`` whose hash leads there.
+    Should fewer hashes be met (a chance of n e^-40 for n values), some values share a seat."""
+    spark = keys.sparkSession
+    all_ = sorted(r[0] for r in keys.select(by).distinct().collect())
+    n = max(1, len(all_))
+    ids = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n))).agg(F.min("id")).collect()
+    seats = pa.table({by: pa.array(all_, pa.int64()), "seat": pa.array([ids[i % len(ids)][1] for i in range(len(all_))], pa.int64())})
+    return [t.join(F.broadcast(spark.createDataFrame(seats)), by).repartition(n, "seat") for t in tables]
+
+
 def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, train flag, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row.
 
@@ -370,7 +381,8 @@ def score_texts(docs: DataFrame, train: str, key: str = "doc_id", text: str = "t
                         names=[key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     out = f"{key} {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, out)
+    texts, entries = _seated(asked, table, told, by="block")  # a row for each block to the driver
+    return texts.groupBy("seat").cogroup(entries.groupBy("seat")).applyInArrow(score, out)
 
 
 def language_model_table(docs: DataFrame) -> DataFrame:

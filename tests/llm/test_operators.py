@@ -474,6 +474,12 @@ def test_blocks_take_bounded_memory(monkeypatch, n):
     assert sum(len(b.column(3).drop_null()) for b in out) == n and peak < 100e6
 
 
+def test_each_block_is_scored_by_a_task_of_its_own(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id < 30 AS train").repartition(8)
+    out = context_tree.score_texts(docs, "train").groupBy(F.spark_partition_id()).count().collect()
+    assert len(out) == 8 and sum(r["count"] for r in out) == 40
+
+
 def test_log_kt():
     p = 1.0
     for i, (num, den) in enumerate([(0.5, 1), (1.5, 2), (0.5, 3)]):  # 0, 0, 1
