@@ -10,12 +10,13 @@ Phases, each written to the shared folder:
 1. document counts of all cells (a fixed number, whatever the corpus), giving an order and a class to each;
 2. one row per different set, with its signatures; copies of a set are collapsed before anything is compared;
 3. buckets of equal signatures: each member is a candidate of one member of its bucket, the hub, verified exactly;
-   the hub has then met all others and leaves;
+   the hub has then met all others and leaves. Sets that share a signature by chance become more with the corpus, so
+   before sets are fetched, parity sketches (the bitmap filter of Sandes et al., 2020) rule out pairs that differ too
+   much: the bits in which two sketches differ are never more than the tokens in which their sets do;
 4. components of these links; where several components still meet in a bucket, one of them is the hub of the next
    turn, until the pairs that are left are few, and all of them are compared, in blocks, until a link is found. So a
-   large group of near copies costs about one comparison per member and turn, and no link goes missing. Before sets
-   are fetched, parity sketches (the bitmap filter of Sandes et al., 2020) rule out pairs that differ too much: the bits
-   in which two sketches differ are never more than the tokens in which their sets do.
+   large group of near copies costs about one comparison per member and turn, and no link goes missing. Here too
+   sketches rule out pairs first.
 """
 
 from __future__ import annotations
@@ -141,10 +142,10 @@ class NgramJoin:
         least, ok = np.minimum(length[a], length[b]), np.ones(len(a), bool)
         for size in np.unique(least):
             folded = np.zeros((len(sketches), size // 8), np.uint64)
-            for i in np.flatnonzero(length >= size):  # halves folded onto each other are the shorter sketch
+            of = np.flatnonzero(least == size)
+            for i in np.unique(np.concatenate((a[of], b[of]))):  # halves folded onto each other are the shorter sketch
                 folded[i] = np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, size // 8), axis=0)
             step = max(1, (1 << 19) // (size // 8))
-            of = np.flatnonzero(least == size)
             for at in (of[k : k + step] for k in range(0, len(of), step)):
                 differ = np.bitwise_count(folded[a[at]] ^ folded[b[at]]).sum(axis=1, dtype=np.int64)
                 both = n[a[at]] + n[b[at]]
@@ -299,9 +300,8 @@ class NgramJoin:
         found = saved(each.join(shared, "sig").withColumn("hub", F.col("hub").bitwiseXOR(self._turned(0))))
         sets, signed = saved(sets.select("id", "fp", "key", "n", "sketch")), sets
         drop(signed)
-        stars = found.where("id <> hub").select("hub", F.col("id").alias("other"), "n").distinct()
-        stars = saved(stars.join(sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub").where(
-            self.percent * F.greatest("n", "hub_n") <= 100 * F.least("n", "hub_n")).select("hub", "other", F.lit(1).alias("hub_size"), F.lit(1).alias("size")))
+        stars = self._stars(found.where("id <> hub").select("hub", F.col("id").alias("other"), "n").distinct(), sets)
+        stars = saved(stars.select("hub", "other", F.lit(1).alias("hub_size"), F.lit(1).alias("size")))
         met = saved(found.where("size > 2 AND id <> hub").select("sig", "id", "n"))
         drop(found)
         stage = self._linked_by(docs, key, text, sets, stars, None)
@@ -340,6 +340,22 @@ class NgramJoin:
     def _hub(self, id_: str, turn: int) -> Column:
         return F.min(F.col(id_).bitwiseXOR(self._turned(turn))).alias("hub")
 
+    def _stars(self, stars: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those (hub, other) of stars(hub, other, n) that may be linked, by their sizes and sketches."""
+        of_hub = sets.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+        near = stars.join(of_hub, "hub").where(self.percent * F.greatest("n", "hub_n") <= 100 * F.least("n", "hub_n"))
+        both = near.join(sets.select(F.col("id").alias("other"), "sketch"), "other").select("hub", "other", "hub_n", "n", "hub_sketch", "sketch")
+
+        def may(batches):
+            for batch in batches:
+                for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                    sketches = [x for c in ("hub_sketch", "sketch") for x in part.column(c).to_pylist()]
+                    n = np.concatenate([part.column(c).to_numpy() for c in ("hub_n", "n")])
+                    at = np.arange(part.num_rows)
+                    yield part.select(["hub", "other"]).filter(pa.array(self.may_link(sketches, n, at, at + part.num_rows)))
+
+        return both.mapInArrow(may, "hub long, other long")
+
     def _linked_by(self, docs: DataFrame, key: str, text: str, sets: DataFrame, hubs: DataFrame, members: DataFrame | None, stage: DataFrame | None = None) -> DataFrame:
         """(id, component) after the links that hubs and members lead to (see ``verified``), and those of ``stage``."""
         ids = hubs.select(F.explode(F.array("hub", "other")).alias("id")).distinct() if members is None else members.select("id")

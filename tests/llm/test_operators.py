@@ -722,6 +722,20 @@ def test_ngram_join_of_a_large_group(spark, plan):
     assert len(set(got.values())) > 1
 
 
+def test_ngram_join_fetches_no_sets_for_a_shared_passage(spark, monkeypatch):
+    """In a large corpus many texts share a signature by chance; sketches rule them out before their sets are fetched."""
+    from strandlog.llm.ngram_join import NgramJoin
+
+    rng, real, compared = random.Random(3), NgramJoin.verified, []
+    passages = [prose(rng, 12) for _ in range(41)]
+    rows = [(i, " ".join((passages[i], prose(rng, 200), passages[i + 1]))) for i in range(40)]
+    rows.append((40, rows[7][1] + " end"))
+    monkeypatch.setattr(NgramJoin, "verified", lambda self, hubs, *rest: compared.extend(hubs.collect()) or real(self, hubs, *rest))
+    got = similar_components(spark.createDataFrame(rows, "doc_id long, text string"), cell_bits=6).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(40)} | {40: 7}
+    assert len(compared) < 5
+
+
 def test_components_of_few_and_of_many_edges(spark, monkeypatch):
     from strandlog.llm import components as module
 
